@@ -1,3 +1,3 @@
-from weft.catalog import graph_queries
+from weft.catalog import data_queries, eval_queries, graph_queries, vector_queries
 
-SECTIONS = [graph_queries]
+SECTIONS = [m.section for m in (data_queries, graph_queries, vector_queries, eval_queries)]

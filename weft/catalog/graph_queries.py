@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 from weft.catalog.fixtures import (
     TAU, big, edges, pos1, ratings, ratings1, ratings_dense, rnd, scored, sql, user_vectors, users,
 )
+from weft.catalog.registry import Section
 from weft.functions.lineage import materialize
 from weft.operators import cluster, cograph, prep, sparsify
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(key: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[key] = fn
-        if oracle is not None:
-            ORACLE[key] = oracle
-        return fn
-
-    return add
+section = Section()
+query = section.query
 
 
 @query("c01_co_occurrence", sql("SELECT u, v, CAST(common AS BIGINT) AS common FROM pairs", ["pairs"]))

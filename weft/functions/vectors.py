@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def scale(a: Column, k: Column) -> Column:
-    return F.transform(a, lambda x: x * k)
+    """Vector times scalar. The scalar is repeated as an array, so it is computed once per row and not once per
+    element inside the lambda."""
+    return F.zip_with(a, F.array_repeat(k, F.size(a)), lambda x, y: x * y)
 
 
 def unit(a: Column, floor: float = 1e-8) -> Column:
@@ -31,9 +35,10 @@ def unit(a: Column, floor: float = 1e-8) -> Column:
     return scale(a, 1.0 / F.greatest(norm(a), F.lit(floor)))
 
 
-def sum_vectors(col: str, dim: int) -> Column:
-    """Element-wise sum as an aggregate: one sum per element, so map-side combine and codegen apply."""
-    return F.array(*[F.sum(F.col(col)[i]) for i in range(dim)])
+def sum_vectors(col: str, dim: int, weight: str | None = None) -> Column:
+    """Element-wise (weighted) sum as an aggregate: one sum per element, so map-side combine and codegen apply."""
+    term = lambda i: F.col(col)[i] * F.col(weight) if weight else F.col(col)[i]
+    return F.array(*[F.sum(term(i)) for i in range(dim)])
 
 
 def mean_vectors(col: str, dim: int) -> Column:
@@ -48,3 +53,13 @@ def vector_dim(df: DataFrame, col: str = "vec") -> int:
     """Length of the vectors, read from one row (all rows have the same length)."""
     row = df.select(F.size(col).alias("n")).first()
     return int(row["n"]) if row else 0
+
+
+def times_matrix(matrix: np.ndarray):
+    """Arrow UDF: vector column times a fixed matrix whose size is a parameter (it travels with the function)."""
+
+    @F.pandas_udf("array<double>")
+    def product(col: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(col.to_numpy()) @ matrix)) if len(col) else col
+
+    return product
