@@ -50,8 +50,8 @@ def _tile_top_k(k: int):
                 r, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
             else:
                 r, c = np.nonzero(np.isfinite(s))
-            v = np.round(s[r, c], 9)
-            o = np.lexsort((iid[c], -v, r))
+            v = s[r, c]
+            o = np.lexsort((iid[c], -np.round(v, 9), r))
             r, c, v = r[o], c[o], v[o]
             starts = np.searchsorted(r, np.arange(s.shape[0]))
             keep = np.arange(len(r)) - starts[r] < k
@@ -79,7 +79,7 @@ def top_items(uvec: DataFrame, ivec: DataFrame, masked: DataFrame, k: int, block
         .unionAll(masked.select(bucket("user_id", ub).alias("tu"), bucket("item_id", ib).alias("ti"), F.lit(2).alias("kind"), F.col("user_id").alias("id"), F.col("item_id").alias("other"), none_vec))
     )
     best = rows.groupBy("tu", "ti").applyInPandas(_tile_top_k(k), "user_id bigint, item_id bigint, score double")
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
+    w = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
