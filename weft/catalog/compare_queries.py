@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.catalog.eval_queries import split
 from weft.catalog.fixtures import (
-    SEED, TAU, big, item_vectors, ratings1, rnd, scored, sql, user_vectors, users,
+    SEED, TAU, big, cte, item_vectors, ratings1, rnd, scored, sql, user_vectors, users,
 )
 from weft.catalog.graph_queries import kept_ctes, kept_edges
 from weft.catalog.registry import Section
@@ -424,14 +424,28 @@ _STATS = {
 }
 
 
-@query("e11_precondition_stats", sql("""SELECT nu AS num_users, ni AS num_items, ns AS num_super_nodes, round(np / nu, 6) AS compression_ratio, round(nu / ns, 6) AS avg_cluster_size,
+_STAT_ROW = """SELECT nu AS num_users, ni AS num_items, ns AS num_super_nodes, round(np / nu, 6) AS compression_ratio, round(nu / ns, 6) AS avg_cluster_size,
     CASE WHEN np > 0 THEN 2 ELSE 1 END::BIGINT AS largest_cluster_size, round((nu - 2 * np) / ns, 6) AS singleton_ratio, before AS uu_edges_before_shared, allc AS uu_edges_all, hcc AS uu_edges_selected, pruned AS uu_edges_pruned,
-    round(hcc / allc, 6) AS edge_retention_ratio, round(pruned / hcc, 6) AS pruned_fraction, 'cosine' AS mode, 2::BIGINT AS min_shared, 70.0::DOUBLE AS active_percentile, 'local' AS resistance, false AS resistance_skipped,
-    0.5::DOUBLE AS effective_alpha, 'matching' AS clustering FROM c""", ["users", "items", "pairs", "cos_edges"], _STATS))
+    round(hcc / allc, 6) AS edge_retention_ratio, round(pruned / hcc, 6) AS pruned_fraction, '{mode}' AS mode, {shared}::BIGINT AS min_shared, 70.0::DOUBLE AS active_percentile, 'local' AS resistance, false AS resistance_skipped,
+    0.5::DOUBLE AS effective_alpha, 'matching' AS clustering FROM c"""
+_STAT_NEEDS = ["users", "items", "pairs", "cos_edges"]
+_RATIOS = ("compression_ratio", "avg_cluster_size", "singleton_ratio", "edge_retention_ratio", "pruned_fraction")
+
+
+def _stat_sql(mode: str = "cosine", shared: int = 2, fraction: float = 1.0) -> str:
+    """Preparation statistics of one configuration; the fixture CTEs are re-pointed at its users, score and limit."""
+    text = sql(_STAT_ROW.format(mode=mode, shared=shared), _STAT_NEEDS, _STATS).replace("p.common >= 2", f"p.common >= {shared}")
+    if mode == "forman_ricci":
+        text = text.replace(cte("cos_edges"), cte("forman_edges"))
+    top = f"""SELECT user_id FROM (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS rn, count(*) OVER () AS c FROM ratings0 GROUP BY 1)
+        WHERE rn <= greatest(1, ceil({fraction} * c))"""
+    return text.replace(f"ratings1 AS ({cte('ratings1')})", f"ratings0 AS ({cte('ratings1')}), ratings1 AS (SELECT * FROM ratings0 SEMI JOIN ({top}) USING (user_id))")
+
+
+@query("e11_precondition_stats", _stat_sql())
 def e11(spark, sf):
     s = prepare(ratings1(spark, sf), Config(tau=TAU, mode="cosine", min_shared=2)).stats
-    ratios = ("compression_ratio", "avg_cluster_size", "singleton_ratio", "edge_retention_ratio", "pruned_fraction")
-    return s.select(*[rnd(c).alias(c) if c in ratios else c for c in s.columns])
+    return s.select(*[rnd(c).alias(c) if c in _RATIOS else c for c in s.columns])
 
 
 @query("e11_precondition_edges", sql("SELECT u, v, round(score, 6) AS score, round(er, 9) AS er, round(importance, 6) AS importance, kept FROM kept_edges", ["cos_edges"], {k: v for k, v in _STATS.items() if k not in ("c", "mp")}))
@@ -440,8 +454,11 @@ def e11_edges(spark, sf):
     return e.select("u", "v", rnd("score").alias("score"), rnd("er", 9).alias("er"), rnd("importance").alias("importance"), "kept")
 
 
-@query("i08_run_sweep")
+SWEEP = [(m, f, s) for m in ("cosine", "forman_ricci") for f in (0.5, 1.0) for s in (1, 3)]
+
+
+@query("i08_run_sweep", " UNION ALL ".join(f"SELECT *, {f}::DOUBLE AS fraction FROM ({_stat_sql(m, s, f)})" for m, f, s in SWEEP))
 def i08(spark, sf):
     """Both score modes, two user fractions, two min_shared values: eight preparations on shared pair counts."""
-    grid = [(m, f, s) for m in ("cosine", "forman_ricci") for f in (0.5, 1.0) for s in (1, 3)]
-    return run_sweep(ratings1(spark, sf), grid, Config(tau=TAU))
+    s = run_sweep(ratings1(spark, sf), SWEEP, Config(tau=TAU))
+    return s.select(*[rnd(c).alias(c) if c in _RATIOS else c for c in s.columns])

@@ -135,6 +135,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def cte(name: str) -> str:
+    """Text of a fixture CTE."""
+    return _CTES[name][1]
+
+
 def sql(body: str, needs: list[str], extra: dict[str, str] | None = None) -> str:
     """WITH clause holding ``needs`` and what they depend on, then ``extra`` CTEs, then the body."""
     ordered: list[str] = []

@@ -136,7 +136,25 @@ def d01(spark, sf):
     return cluster.matched_pairs(scored(spark, sf), 1, "lower_first")
 
 
-@query("d01_match_lower_first_rounds")
+def matching_ctes(edges: str, rounds: int, prefer: str) -> dict[str, str]:
+    """Matching rounds written out one by one: f<i> free edges, m<i> pairs of round i, all in ``mall``. Rounds past
+    the fixed point add nothing."""
+    out = {"f0": f"SELECT u, v, round(score, 9) AS s FROM {edges}"}
+    for i in range(rounds):
+        if prefer == "heaviest":
+            out[f"m{i}"] = f"""SELECT u, v FROM (SELECT u, v, row_number() OVER (PARTITION BY x ORDER BY s DESC, u, v) AS rk
+                FROM (SELECT *, unnest([u, v]) AS x FROM f{i})) WHERE rk = 1 GROUP BY u, v HAVING count(*) = 2"""
+        else:
+            out[f"m{i}"] = f"""SELECT a.u, a.v FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY s DESC, v) AS rk FROM f{i}) a
+                JOIN (SELECT u, v, row_number() OVER (PARTITION BY v ORDER BY s DESC, u) AS rk FROM f{i} WHERE v NOT IN (SELECT u FROM f{i})) b ON a.u = b.u AND a.v = b.v WHERE a.rk = 1 AND b.rk = 1"""
+        out[f"t{i}"] = f"SELECT unnest([u, v]) AS x FROM m{i}"
+        out[f"f{i + 1}"] = f"SELECT * FROM f{i} WHERE u NOT IN (SELECT x FROM t{i}) AND v NOT IN (SELECT x FROM t{i})"
+    out["mall"] = " UNION ALL ".join(f"SELECT u, v FROM m{i}" for i in range(rounds))
+    return out
+
+
+@query("d01_match_lower_first_rounds", sql("SELECT s.user_id, coalesce(m.u, s.user_id) AS super_id FROM users s LEFT JOIN mall m ON m.v = s.user_id",
+    ["cos_edges", "users"], matching_ctes("cos_edges", 6, "lower_first")))
 def d01_rounds(spark, sf):
     """Six rounds (size 50) and the resulting cluster map."""
     return cluster.match_heavy_edges(scored(spark, sf), users(spark, sf), 50, "lower_first")
@@ -187,7 +205,7 @@ def d05(spark, sf):
     return clusters.withColumn("active_percentile", F.lit(active))
 
 
-@query("d06_match_greedy")
+@query("d06_match_greedy", sql("SELECT u, v FROM mall", ["cos_edges"], matching_ctes("cos_edges", 30, "heaviest")))
 def d06(spark, sf):
     return cluster.match_greedy(scored(spark, sf))
 

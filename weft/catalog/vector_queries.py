@@ -48,7 +48,7 @@ def bipartite(spark, sf):
     vecs = user_vectors(spark, sf).select(F.col("user_id").alias("id"), "vec").unionAll(
         item_vectors(spark, sf).select((F.col("item_id") + F.lit(offset)).alias("id"), "vec")
     )
-    return cograph.bipartite_edges(inter, offset), vecs
+    return materialize(cograph.bipartite_edges(inter, offset), "edges"), materialize(vecs, "vectors")
 
 
 _BIP = {
@@ -147,12 +147,33 @@ def item_features(spark, sf):
     return r.groupBy("item_id").agg(F.array(*stats).alias("feat"))
 
 
-@query("f10_blend_content")
+def _content_ctes(transpose: bool) -> dict[str, str]:
+    """Item statistics, the seeded projection matrix (12 x 64) as a table of columns, and projected features."""
+    m = propagate.projection_matrix(12, 64, 42, transpose)
+    columns = ", ".join(f"({j + 1}, [{', '.join(repr(float(x)) for x in m[:, j])}])" for j in range(m.shape[1]))
+    parts = ", ".join(f"avg(CASE WHEN user_id % 6 = {i} THEN rating ELSE 0 END)" for i in range(6))
+    return {
+        "ft": f"SELECT item_id, [count(*)::DOUBLE, avg(rating), stddev_pop(rating), min(rating), max(rating), sum(rating), {parts}] AS feat FROM ratings1 GROUP BY 1",
+        "pm": f"SELECT * FROM (VALUES {columns}) t(d, w)",
+        "iv": "SELECT item_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM ivec",
+    }
+
+
+@query("f10_blend_content", sql("SELECT item_id, CAST(d AS BIGINT) AS d, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY item_id)), 1e-8), 6) + 0.0 AS x FROM mx", ["ratings1", "ivec"], {**_content_ctes(False),
+    "pj": "SELECT item_id, d, list_inner_product(feat, w::DOUBLE[]) AS p FROM ft, pm",
+    "pu": "SELECT item_id, d, p / greatest(sqrt(sum(p * p) OVER (PARTITION BY item_id)), 1e-8) AS p FROM pj",
+    "mx": "SELECT item_id, d, 0.8 * x + 0.2 * p AS x FROM iv JOIN pu USING (item_id, d)"}))
 def f10(spark, sf):
     return long_form(propagate.blend_content(item_vectors(spark, sf), item_features(spark, sf), 0.2, "unit"), "item_id")
 
 
-@query("f10_blend_content_scaled")
+_DEVIATION = ", ".join(f"coalesce(nullif(stddev_pop(feat[{i}]), 0), 1)" for i in range(1, 13))
+
+
+@query("f10_blend_content_scaled", sql("SELECT item_id, CAST(d AS BIGINT) AS d, round(0.8 * x + 0.2 * p * (SELECT avg(e) / avg(f) FROM nn), 6) + 0.0 AS x FROM iv JOIN pj USING (item_id, d)", ["ratings1", "ivec"], {**_content_ctes(True),
+    "dv": f"SELECT [{_DEVIATION}] AS s FROM ft",
+    "pj": "SELECT item_id, d, list_inner_product(list_transform(list_zip(feat, s), lambda t: t[1] / t[2]), w::DOUBLE[]) AS p FROM ft, dv, pm",
+    "nn": "SELECT item_id, sqrt(sum(x * x)) AS e, sqrt(sum(p * p)) AS f FROM iv JOIN pj USING (item_id, d) GROUP BY 1"}))
 def f10_scaled(spark, sf):
     return long_form(propagate.blend_content(item_vectors(spark, sf), item_features(spark, sf), 0.2, "scaled"), "item_id")
 
