@@ -37,12 +37,25 @@ def unit(a: Column, floor: float = 1e-8) -> Column:
 
 def sum_vectors(col: str, dim: int, weight: str | None = None) -> Column:
     """Element-wise (weighted) sum as an aggregate: one sum per element, so map-side combine and codegen apply."""
-    term = lambda i: F.col(col)[i] * F.col(weight) if weight else F.col(col)[i]
-    return F.array(*[F.sum(term(i)) for i in range(dim)])
+    by = f" * `{weight}`" if weight else ""
+    return F.expr("array(" + ", ".join(f"sum(`{col}`[{i}]{by})" for i in range(dim)) + ")")
 
 
 def mean_vectors(col: str, dim: int) -> Column:
-    return F.array(*[F.avg(F.col(col)[i]) for i in range(dim)])
+    return F.expr("array(" + ", ".join(f"avg(`{col}`[{i}])" for i in range(dim)) + ")")
+
+
+def dot_sums(a: str, b: str, dim: int, weight: str = "1D") -> Column:
+    """Per element the sum over rows of a * b * weight."""
+    return F.expr("array(" + ", ".join(f"sum(`{a}`[{i}] * `{b}`[{i}] * ({weight}))" for i in range(dim)) + ")")
+
+
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def subtract(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
 
 def zeros(dim: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import cut, materialize
-from weft.functions.vectors import mean_vectors, sum_vectors, zeros
+from weft.functions.vectors import add, dot_sums, mean_vectors, scale, subtract, sum_vectors, zeros
 from weft.operators.cluster import component_labels
 from weft.operators.sparsify import adjacency, adjacency_degree
 
@@ -24,20 +24,16 @@ def _signs(k: int, seed: int, *keys: str) -> Column:
     return F.array(*[(1 - 2 * bit(i)).cast("double") * F.lit(size) for i in range(k)])
 
 
-def _each(k: int, element) -> Column:
-    return F.array(*[element(i) for i in range(k)])
-
-
 def _right_side(edges: DataFrame, k: int, seed: int, signs: str) -> DataFrame:
     """(id, b): signs per edge pushed to its ends, or signs per node centred inside each component."""
     if signs == "edge":
         q = edges.select("u", "v").distinct().withColumn("q", _signs(k, seed, "u", "v"))
-        ends = q.select(F.col("u").alias("id"), "q").unionAll(q.select(F.col("v").alias("id"), _each(k, lambda i: -F.col("q")[i]).alias("q")))
+        ends = q.select(F.col("u").alias("id"), "q").unionAll(q.select(F.col("v").alias("id"), scale(F.col("q"), F.lit(-1.0)).alias("q")))
         return ends.groupBy("id").agg(sum_vectors("q", k).alias("b"))
     if signs == "node":
         q = component_labels(edges).select(F.col("user_id").alias("id"), "super_id").withColumn("q", _signs(k, seed, "id"))
         centre = q.groupBy("super_id").agg(mean_vectors("q", k).alias("c"))
-        return q.join(centre, "super_id").select("id", _each(k, lambda i: F.col("q")[i] - F.col("c")[i]).alias("b"))
+        return q.join(centre, "super_id").select("id", subtract(F.col("q"), F.col("c")).alias("b"))
     raise ValueError(f"unknown sign choice {signs!r}")
 
 
@@ -51,19 +47,17 @@ def er_sketch(edges: DataFrame, k: int = 32, iters: int = 200, tol: float = 1e-6
     e = materialize(edges, "edges")
     adj = materialize(adjacency(e.select("u", "v")), "adjacency")
     start = _right_side(e, k, seed, signs).join(adjacency_degree(adj).withColumnRenamed("node", "id"), "id")
-    state = cut(start.select("id", "deg", zeros(k).alias("x"), F.col("b").alias("r"), _each(k, lambda i: F.col("b")[i] / F.col("deg")).alias("p")))
+    state = cut(start.select("id", "deg", zeros(k).alias("x"), F.col("b").alias("r"), scale(F.col("b"), 1.0 / F.col("deg")).alias("p")))
     first = None
     for _ in range(iters):
         sent = adj.join(state.select(F.col("id").alias("src"), "p"), "src").groupBy("dst").agg(sum_vectors("p", k).alias("s"))
         step = cut(
             state.join(sent.withColumnRenamed("dst", "id"), "id")
-            .select("id", "deg", "x", "r", "p", _each(k, lambda i: F.col("deg") * F.col("p")[i] - F.col("s")[i]).alias("l"))
+            .select("id", "deg", "x", "r", "p", subtract(scale(F.col("p"), F.col("deg")), F.col("s")).alias("l"))
         )
-        dots = lambda a, b, w: F.array(*[F.sum(F.col(a)[i] * F.col(b)[i] * w) for i in range(k)])
-        by_degree = 1.0 / F.col("deg")  # diagonal preconditioner
-        row = step.agg(
-            dots("r", "r", by_degree).alias("rr"), dots("p", "l", F.lit(1.0)).alias("pl"),
-            dots("r", "l", by_degree).alias("rl"), dots("l", "l", by_degree).alias("ll"),
+        row = step.agg(  # 1/deg: diagonal preconditioner
+            dot_sums("r", "r", k, "1D / deg").alias("rr"), dot_sums("p", "l", k).alias("pl"),
+            dot_sums("r", "l", k, "1D / deg").alias("rl"), dot_sums("l", "l", k, "1D / deg").alias("ll"),
         ).first()
         if row["rr"][0] is None:
             break
@@ -75,14 +69,13 @@ def er_sketch(edges: DataFrame, k: int = 32, iters: int = 200, tol: float = 1e-6
         # step sizes travel as array literals into lambdas: as plain numbers they would be compiled into new code
         # at every step
         times = lambda col, values: F.zip_with(col, F.array(*[F.lit(float(v)) for v in values]), lambda x, y: x * y)
-        plus = lambda p, q: F.zip_with(p, q, lambda x, y: x + y)
         state = (
-            step.select("id", "deg", plus(F.col("x"), times(F.col("p"), alpha)).alias("x"), plus(F.col("r"), times(F.col("l"), -alpha)).alias("r"), "p")
-            .select("id", "deg", "x", "r", plus(F.zip_with("r", F.array_repeat(1.0 / F.col("deg"), k), lambda x, y: x * y), times(F.col("p"), beta)).alias("p"))
+            step.select("id", "deg", add(F.col("x"), times(F.col("p"), alpha)).alias("x"), add(F.col("r"), times(F.col("l"), -alpha)).alias("r"), "p")
+            .select("id", "deg", "x", "r", add(scale(F.col("r"), 1.0 / F.col("deg")), times(F.col("p"), beta)).alias("p"))
         )
         if np.all(left <= tol * tol * np.maximum(first, 1e-300)):
             break
     z = state.select("id", F.col("x").alias("z"))
     both = e.join(z.select(F.col("id").alias("u"), F.col("z").alias("_a")), "u").join(z.select(F.col("id").alias("v"), F.col("z").alias("_b")), "v")
-    gap = lambda i: F.col("_a")[i] - F.col("_b")[i]
-    return both.withColumn("er", sum((gap(i) * gap(i) for i in range(1, k)), gap(0) * gap(0))).drop("_a", "_b")
+    gap = subtract(F.col("_a"), F.col("_b"))
+    return both.withColumn("er", F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)).drop("_a", "_b")
