@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.catalog.fixtures import SEED, TAU, big, item_vectors, ratings1, ratings_dense, rnd, sql, table, user_vectors
+from weft.catalog.fixtures import SEED, TAU, big, item_vectors, ratings, ratings1, ratings_dense, rnd, sql, table, user_vectors
 from weft.catalog.registry import Section
 from weft.functions.lineage import materialize
 from weft.operators import evaluate, prep
@@ -15,12 +15,12 @@ query = section.query
 
 def split(spark, sf):
     """(seen, truth) of the leave-one-out split."""
-    train, test = prep.split_loo(ratings1(spark, sf), TAU, SEED)
+    train, test = prep.split_loo(materialize(ratings1(spark, sf), "ratings"), TAU, SEED)
     return prep.seen_items(train), prep.test_positives(test, TAU)
 
 
 def catalogue_size(spark, sf) -> int:
-    return int(ratings1(spark, sf).agg(F.max("item_id")).first()[0]) + 1
+    return int(ratings(spark, sf).agg(F.max("item_id")).first()[0]) + 1
 
 
 def ratio_split(spark, sf):

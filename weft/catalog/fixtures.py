@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.vectors import as_double
 from weft.operators import cograph, prep
 
 TAU = 4.0
@@ -54,7 +53,11 @@ def ratings_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
-    return ratings1(spark, sf).select("user_id").distinct()
+    return ratings(spark, sf).select("user_id").distinct()
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return ratings(spark, sf).select("item_id").distinct()
 
 
 def pos1(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +73,7 @@ def scored(spark: SparkSession, sf: str, mode: str = "cosine", min_shared: int =
 
 
 def base_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
-    emb = table(spark, sf, "embeddings").select(big("vec_id").alias("vec_id"), as_double(F.col("embedding")).alias("vec"))
+    emb = table(spark, sf, "embeddings").select(big("vec_id").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
     return emb, emb.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
@@ -82,8 +85,7 @@ def user_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_vectors(spark: SparkSession, sf: str, part: float = 2.0) -> DataFrame:
     emb, n = base_vectors(spark, sf)
-    items = ratings1(spark, sf).select("item_id").distinct()
-    keyed = items.withColumn("vec_id", (F.col("item_id") + F.floor(n / F.lit(part))) % n)
+    keyed = items(spark, sf).withColumn("vec_id", (F.col("item_id") + F.floor(n / F.lit(part))) % n)
     return keyed.join(emb, "vec_id").select("item_id", "vec")
 
 

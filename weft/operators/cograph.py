@@ -59,7 +59,7 @@ def co_occurrence(
     by = by or []
     keep = max(min_shared, 1)
     rows = with_user_degree(pos) if not by else pos.select("user_id", "item_id", "deg", *by)
-    joined = cap_items(rows, max_item_degree)
+    joined = materialize(cap_items(rows, max_item_degree), "interactions")  # read by the degree check and both join sides
     degrees = joined.groupBy("item_id", *by).agg(F.count(F.lit(1)).alias("item_deg"))
     hot = degrees.where(F.col("item_deg") > hot_degree)
     if hot.isEmpty():
@@ -76,7 +76,10 @@ def co_occurrence(
 def _count_pairs(rows: DataFrame, by: list[str], hot: DataFrame | None, hot_degree: int) -> DataFrame:
     keys = ["item_id", *by]
     if hot is None:
-        left = rows.select(*keys, F.col("user_id").alias("u"), F.col("deg").alias("deg_u"))
+        # the join's output is far larger than its input: spread items over all partitions by number, since adaptive
+        # merging would size the partitions by their input bytes
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = rows.select(*keys, F.col("user_id").alias("u"), F.col("deg").alias("deg_u")).repartition(n, *keys)
         right = rows.select(*keys, F.col("user_id").alias("v"), F.col("deg").alias("deg_v"))
         pairs = left.join(right, keys).where("u < v")
     else:

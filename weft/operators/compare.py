@@ -215,7 +215,10 @@ def compression_correlation(runs: DataFrame) -> DataFrame:
     """One row over two runs or more: Pearson of compression against NDCG change and against overlap (0 when either
     side is constant), ranges and a verdict; no row with fewer runs."""
     flat = lambda c: F.coalesce(F.stddev_pop(c) < 1e-9, F.lit(True))
-    pearson = lambda c: F.when(flat("compression") | flat(c), F.lit(0.0)).otherwise(F.corr("compression", c))
+    # covariance over deviations: the built-in correlation fails on a constant column under ANSI rules
+    pearson = lambda c: F.when(flat("compression") | flat(c), F.lit(0.0)).otherwise(
+        F.covar_pop("compression", c) / (F.stddev_pop("compression") * F.stddev_pop(c))
+    )
     out = compression_runs(runs).agg(
         F.count(F.lit(1)).alias("num_runs"), F.min("compression").alias("compression_min"), F.max("compression").alias("compression_max"),
         pearson("ndcg_change").alias("r_ndcg"), pearson("overlap").alias("r_stability"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from weft.functions.lineage import cut
+from weft.functions.lineage import cut, materialize
 from weft.functions.seeded import draw_key
 from weft.functions.stats import global_rank, rank_in_group, running_sum
 
@@ -126,6 +126,7 @@ def split_loo(r: DataFrame, tau: float = 4.0, seed: int = 42) -> tuple[DataFrame
         .where("n >= 2")
         .select("user_id", "item_id")
     )
+    pick = cut(pick)  # one row per user, used by both halves
     return r.join(pick, ["user_id", "item_id"], "left_anti"), r.join(pick, ["user_id", "item_id"], "left_semi")
 
 
@@ -136,7 +137,8 @@ def split_ratio(r: DataFrame, ratio: float = 0.2, seed: int = 42) -> tuple[DataF
         r.join(activity(r), "user_id").withColumn("_h", draw_key(seed, "user_id", "item_id")),
         ["user_id"], "_h", "n", "_rk",
     )
-    marked = ranked.withColumn("_test", F.col("_rk") <= n_test)
+    # ranked once, read by both halves
+    marked = materialize(ranked.select(*r.columns, (F.col("_rk") <= n_test).alias("_test")), "split")
     return marked.where("not _test").select(*r.columns), marked.where("_test").select(*r.columns)
 
 

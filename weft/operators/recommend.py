@@ -28,7 +28,7 @@ def _tile_top_k(k: int):
         if users.empty or items.empty:
             return empty
         uid, iid = users["id"].to_numpy(), items["id"].to_numpy()
-        uv, iv = np.stack(users["vec"].to_numpy()), np.stack(items["vec"].to_numpy())
+        uv, iv = np.stack(users["vec"].to_numpy()).astype("float64"), np.stack(items["vec"].to_numpy()).astype("float64")
         masked = tile[kind == 2]
         row_of = pd.Series(np.arange(len(uid)), index=uid)
         m_row = row_of.reindex(masked["id"].to_numpy()).to_numpy()
@@ -69,16 +69,19 @@ def top_items(uvec: DataFrame, ivec: DataFrame, masked: DataFrame, k: int, block
     spark = uvec.sparkSession
     nu, ni = uvec.count(), ivec.count()
     ib = max(1, math.ceil(ni / block))
-    ub = max(1, math.ceil(nu / block), min(spark.sparkContext.defaultParallelism, math.ceil(nu / 256)))
+    ub = max(1, math.ceil(nu / block), min(2 * spark.sparkContext.defaultParallelism, math.ceil(nu / 512)))
     bucket = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    none_vec, none_id = F.lit(None).cast("array<double>").alias("vec"), F.lit(-1).cast("bigint").alias("other")
+    none_vec, none_id = F.lit(None).cast(uvec.schema["vec"].dataType).alias("vec"), F.lit(-1).cast("bigint").alias("other")
     rows = (
-        uvec.select(bucket("user_id", ub).alias("tu"), span(ib).alias("ti"), F.lit(0).alias("kind"), F.col("user_id").alias("id"), none_id, as_double(F.col("vec")).alias("vec"))
-        .unionAll(ivec.select(span(ub).alias("tu"), bucket("item_id", ib).alias("ti"), F.lit(1).alias("kind"), F.col("item_id").alias("id"), none_id, as_double(F.col("vec")).alias("vec")))
+        uvec.select(bucket("user_id", ub).alias("tu"), span(ib).alias("ti"), F.lit(0).alias("kind"), F.col("user_id").alias("id"), none_id, F.col("vec"))
+        .unionAll(ivec.select(span(ub).alias("tu"), bucket("item_id", ib).alias("ti"), F.lit(1).alias("kind"), F.col("item_id").alias("id"), none_id, F.col("vec")))
         .unionAll(masked.select(bucket("user_id", ub).alias("tu"), bucket("item_id", ib).alias("ti"), F.lit(2).alias("kind"), F.col("user_id").alias("id"), F.col("item_id").alias("other"), none_vec))
     )
-    best = rows.groupBy("tu", "ti").applyInPandas(_tile_top_k(k), "user_id bigint, item_id bigint, score double")
+    tile = (F.col("tu") * F.lit(ib) + F.col("ti")).alias("tile")
+    # one tile per partition: tiles are heavy in computing and light in bytes, so they must not be merged by size
+    placed = rows.select(tile, "kind", "id", "other", "vec").repartitionById(ub * ib, "tile")
+    best = placed.groupBy("tile").applyInPandas(_tile_top_k(k), "user_id bigint, item_id bigint, score double")
     w = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
