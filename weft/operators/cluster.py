@@ -107,7 +107,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("n"), F.col("lo").alias("x")).unionAll(e.select(F.col("lo").alias("n"), F.col("hi").alias("x")))
         least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where("x > n").join(least, "n").select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("x > n").join(least, "n").select(F.col("x").alias("hi"), F.col("m").alias("lo"))
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
             large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
