@@ -210,12 +210,17 @@ def _level(p: int) -> dict[str, str]:
     }
 
 
-# enough levels for the retries these tables need
-@query("d05_adaptive_clusters", sql("""SELECT * FROM comp99 WHERE NOT (SELECT bad FROM bad99) UNION ALL SELECT * FROM comp89 WHERE (SELECT bad FROM bad99) AND NOT (SELECT bad FROM bad89)
-    UNION ALL SELECT * FROM comp79 WHERE (SELECT bad FROM bad99) AND (SELECT bad FROM bad89) AND NOT (SELECT bad FROM bad79)""",
-    ["cos_edges", "users"], {**_level(99), **_level(89), **_level(79)}).replace("WITH ", "WITH RECURSIVE ", 1))
+_LEVELS = [25, 15, 5, 0]
+_FIRST_GOOD = " UNION ALL ".join(
+    f"SELECT * FROM comp{p} WHERE " + " AND ".join([f"(SELECT bad FROM bad{q})" for q in _LEVELS[:i]] + ([f"NOT (SELECT bad FROM bad{p})"] if p else []))
+    for i, p in enumerate(_LEVELS)
+)
+
+
+@query("d05_adaptive_clusters", sql(_FIRST_GOOD, ["cos_edges", "users"], {k: q for p in _LEVELS for k, q in _level(p).items()}).replace("WITH ", "WITH RECURSIVE ", 1))
 def d05(spark, sf):
-    clusters, _, active = cluster.cluster_adaptive(materialize(scored(spark, sf)), users(spark, sf), 99.0)
+    """Users without any edge keep the singleton share high here, so the percentile falls to 0."""
+    clusters, _, active = cluster.cluster_adaptive(materialize(scored(spark, sf)), users(spark, sf), 25.0)
     return clusters.withColumn("active_percentile", F.lit(active))
 
 
