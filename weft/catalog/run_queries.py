@@ -47,10 +47,10 @@ _CTES = f"""rec AS (SELECT list_extract({runs.MODES!r}, l_orderkey % 2 + 1) AS m
     l_discount AS ndcg, l_tax AS recall, l_quantity / 100 AS precision, l_extendedprice / 10000 AS time_s, l_orderkey AS seq, l_extendedprice AS price,
     l_linenumber::BIGINT AS line_no, l_partkey AS part, l_suppkey AS supp FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   pre AS (SELECT * FROM rec WHERE NOT (mode = 'cosine' AND fraction = 0.25 AND min_shared = 5)),
-  met AS (SELECT mode, fraction, min_shared, model, run_type, round(avg(ndcg), 12) AS ndcg, round(avg(recall), 12) AS recall, round(avg(precision), 12) AS precision, round(sum(time_s), 4) AS time_s, count(*) AS n FROM pre GROUP BY ALL),
-  spd AS (SELECT mode, fraction, min_shared, model, b.time_s AS bt, r.time_s AS rt, round(b.time_s / r.time_s, 4) AS factor, round(100 * (b.n - r.n) / b.n, 4) AS mem, round(r.time_s / 10, 4) AS prep
+  met AS (SELECT mode, fraction, min_shared, model, run_type, round(avg(ndcg), 12) AS ndcg, round(avg(recall), 12) AS recall, round(avg(precision), 12) AS precision, round(sum(time_s), 6) AS time_s, count(*) AS n FROM pre GROUP BY ALL),
+  spd AS (SELECT mode, fraction, min_shared, model, b.time_s AS bt, r.time_s AS rt, round(b.time_s / r.time_s, 4) AS factor, round(100 * (b.n - r.n) / b.n, 4) AS mem, round(r.time_s / 10, 9) AS prep
     FROM (SELECT * FROM met WHERE run_type = 'baseline') b JOIN (SELECT * FROM met WHERE run_type = 'reduced') r USING (mode, fraction, min_shared, model)),
-  grp AS (SELECT mode, fraction, min_shared, count(DISTINCT part) AS supers, round(100.0 * count(DISTINCT supp) / count(DISTINCT part), 6) AS comp, round(avg(ndcg) * 100, 12) AS edge, round(sum(time_s) / 100, 4) AS prep FROM pre GROUP BY ALL),
+  grp AS (SELECT mode, fraction, min_shared, count(DISTINCT part) AS supers, round(100.0 * count(DISTINCT supp) / count(DISTINCT part), 6) AS comp, round(avg(ndcg) * 100, 12) AS edge, round(sum(time_s) / 100, 9) AS prep FROM pre GROUP BY ALL),
   flat AS (SELECT m.mode, m.fraction, m.min_shared, m.model, max(m.ndcg) FILTER (run_type = 'baseline') AS base_ndcg, max(m.recall) FILTER (run_type = 'baseline') AS base_recall, max(precision) FILTER (run_type = 'baseline') AS base_precision,
     max(time_s) FILTER (run_type = 'baseline') AS base_time_s, max(m.ndcg) FILTER (run_type = 'reduced') AS reduced_ndcg, max(m.recall) FILTER (run_type = 'reduced') AS reduced_recall,
     max(precision) FILTER (run_type = 'reduced') AS reduced_precision, max(time_s) FILTER (run_type = 'reduced') AS reduced_time_s, any_value(g.comp) AS nodes_removed_pct, any_value(g.edge) AS edges_removed_pct,
@@ -69,19 +69,19 @@ def write_result_files(spark, sf) -> str:
     p = materialize(present(spark, sf), "records")
     m = p.groupBy(*KEY, "model", "run_type").agg(
         rnd(F.avg("ndcg"), 12).alias("NDCG@10"), rnd(F.avg("recall"), 12).alias("Recall@10"), rnd(F.avg("precision"), 12).alias("Precision@10"),
-        rnd(F.sum("time_s"), 4).alias("training_time_s"), F.count(F.lit(1)).alias("n"),
+        rnd(F.sum("time_s"), 6).alias("training_time_s"), F.count(F.lit(1)).alias("n"),
     )
     b, r = m.where(F.col("run_type") == "baseline"), m.where(F.col("run_type") == "reduced")
     s = b.select(*KEY, "model", F.col("training_time_s").alias("bt"), F.col("n").alias("bn")).join(r.select(*KEY, "model", F.col("training_time_s").alias("rt"), F.col("n").alias("rn")), [*KEY, "model"])
     s = s.select(
         *KEY, "model", F.col("bt").alias("training_time_original_s"), F.col("rt").alias("training_time_reduced_s"), rnd(F.col("bt") / F.col("rt"), 4).alias("speedup_factor"),
-        rnd(100.0 * (F.col("bn") - F.col("rn")) / F.col("bn"), 4).alias("GPU_memory_reduction_pct"), rnd(F.col("rt") / 10, 4).alias("preprocessing_overhead_s"),
+        rnd(100.0 * (F.col("bn") - F.col("rn")) / F.col("bn"), 4).alias("GPU_memory_reduction_pct"), rnd(F.col("rt") / 10, 9).alias("preprocessing_overhead_s"),
     )
     distinct = lambda c: p.select(*KEY, c).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias(c))
     g = p.groupBy(*KEY).agg(F.avg("ndcg").alias("e"), F.sum("time_s").alias("t")).join(distinct("part"), KEY).join(distinct("supp"), KEY).select(
         *KEY, F.struct(
             F.col("part").alias("num_super_nodes"), rnd(100.0 * F.col("supp") / F.col("part")).alias("compression_ratio_pct"),
-            rnd(F.col("e") * 100, 12).alias("bipartite_edge_reduction_pct"), rnd(F.col("t") / 100, 4).alias("preprocessing_time_s"),
+            rnd(F.col("e") * 100, 12).alias("bipartite_edge_reduction_pct"), rnd(F.col("t") / 100, 9).alias("preprocessing_time_s"),
         ).alias("reduced"),
     )
     rows = lambda df, name: df.groupBy(*KEY).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in KEY and c != "n"])).alias(name))  # a few models per run
@@ -201,8 +201,8 @@ def i07(spark, sf):
     return m.select("mode", "model", "fraction", *[F.col(f"`{s}_{c}`").alias(f"{c}_{s}") for s in runs.MIN_SHARED for c in ("factor", "mem_pct", "prep_s")])
 
 
-@query("g13_efficiency", _sql("""SELECT b.model, round(b.a / r.a, 6) AS epoch_speedup, round((b.m - r.m) / b.m, 6) AS memory_reduction_ratio, round(p / r.t, 6) AS preprocess_vs_training_ratio, round(b.t - r.t, 4) + 0.0 AS training_time_saved_s,
-    round(b.t - r.t - p, 4) + 0.0 AS net_gain_s FROM (SELECT model, avg(time_s) AS a, max(price) AS m, sum(time_s) AS t FROM rec WHERE run_type = 'baseline' GROUP BY 1) b
+@query("g13_efficiency", _sql("""SELECT b.model, round(b.a / r.a, 6) AS epoch_speedup, round((b.m - r.m) / b.m, 6) AS memory_reduction_ratio, round(p / r.t, 6) AS preprocess_vs_training_ratio, round(b.t - r.t, 6) + 0.0 AS training_time_saved_s,
+    round(b.t - r.t - p, 6) + 0.0 AS net_gain_s FROM (SELECT model, avg(time_s) AS a, max(price) AS m, sum(time_s) AS t FROM rec WHERE run_type = 'baseline' GROUP BY 1) b
     JOIN (SELECT model, avg(time_s) AS a, max(price) AS m, sum(time_s) AS t, sum(recall) AS p FROM rec WHERE run_type = 'reduced' GROUP BY 1) r USING (model)"""))
 def g13(spark, sf):
     def summary(kind):
@@ -211,7 +211,7 @@ def g13(spark, sf):
         )
 
     e = evaluate.efficiency(summary("baseline"), summary("reduced"))
-    return e.select("model", *[rnd(c, 4 if c.endswith("_s") else 6).alias(c) for c in e.columns if c != "model"])
+    return e.select("model", *[rnd(c, 6).alias(c) for c in e.columns if c != "model"])
 
 
 _CORR = """cr AS (SELECT nodes_removed_pct / 100 AS c, reduced_ndcg - base_ndcg AS d, reduced_recall / (base_recall + reduced_recall) AS o FROM flat),
