@@ -35,8 +35,9 @@ REPEAT_PERCENT = 20
 WINDOW = 5
 GUARD_CHARS = 200
 GUARD_WORDS = 50
-MAX_CLASS_DISTANCE = 0.20
-MAX_WORD_DISTANCE = 0.45
+# Beyond either of the first two a document goes; beyond both of the second two as well.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.48
+BOTH_CLASS_DISTANCE, BOTH_WORD_DISTANCE = 0.18, 0.29
 
 
 def repeated_words(w: Column, k: int = WINDOW) -> Column:
@@ -156,7 +157,8 @@ def judge(feats: DataFrame, refs: dict[str, dict[str, list[float]]]) -> DataFram
         .withColumn("word_distance", F.when(
             F.col("n_words") >= GUARD_WORDS, divergence("_common", "n_words", refs["_common"])).otherwise(F.lit(0.0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("class_distance") <= MAX_CLASS_DISTANCE)
-                    & (F.col("word_distance") <= MAX_WORD_DISTANCE))
+                    & (F.col("word_distance") <= MAX_WORD_DISTANCE)
+                    & ((F.col("class_distance") <= BOTH_CLASS_DISTANCE) | (F.col("word_distance") <= BOTH_WORD_DISTANCE)))
     )
 
 
