@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm import decontam, fixity, quality, sharding
+from weft.llm import decontam, fixity, packing, quality, sharding, toxicity
 from weft.llm.oracles import ORACLE
 from weft.llm.text import table
 
@@ -47,3 +47,14 @@ def op8_merkle_audit(spark: SparkSession, sf: str) -> DataFrame:
     changed = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
     copy = fixity.records(pages.withColumn("html", changed)).where(~F.coalesce(F.col("record_id") % 101 == 7, F.lit(False)))
     return fixity.audit(fixity.records(pages), copy)
+
+
+@query
+def op5_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+
+
+@query
+def op6_best_fit_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.tokenised(table(spark, sf, "documents")))
