@@ -114,7 +114,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionAll(root.select("hi", F.col("m").alias("lo"))).distinct()
         )
         e = cut(small)
-        state = e.agg(F.count(F.lit(1)), F.sum("lo"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
+        state = e.agg(F.count(F.lit(1)), F.sum(F.col("lo").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if state == before:
             break
         before = state
