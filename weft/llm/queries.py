@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm import decontam, fixity, packing, quality, sharding, toxicity
+from weft.llm import decontam, fixity, jaccard, packing, quality, sharding, toxicity
 from weft.llm.oracles import ORACLE
 from weft.llm.text import table
 
@@ -58,3 +58,8 @@ def op5_lexicon(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_best_fit_plan(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.tokenised(table(spark, sf, "documents")))
+
+
+@query
+def op7_parity_sketch_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.components(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")

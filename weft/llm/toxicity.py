@@ -31,6 +31,7 @@ MAX_LABELLED = 10_000
 MAX_STEMS = 2_000
 MAX_EXCEPTIONS = 1_000
 MIN_TOXIC = 4
+MIN_SHARE = 0.02  # of the sampled toxic documents: rarer stems are chance
 MIN_Z = 4.0
 STEM_LENGTHS = range(3, 13)
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> str:
     odds = F.log(a / (n_tox + 1 - F.col("tox"))) - F.log(b / (n_non + 1 - F.col("non")))
     spread = F.sqrt(1 / a + 1 / b)
     rows = (
-        _counted(sample, stems).where(F.col("tox") >= MIN_TOXIC).withColumn("w", odds).where(odds / spread >= MIN_Z)
+        _counted(sample, stems).where(F.col("tox") >= max(MIN_TOXIC, MIN_SHARE * n_tox)).withColumn("w", odds).where(odds / spread >= MIN_Z)
         .orderBy(F.desc(F.col("w") / spread), "key").limit(MAX_STEMS).collect()
     )
     support = {r["key"]: r["tox"] for r in rows}
