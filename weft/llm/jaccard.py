@@ -11,9 +11,11 @@ and in the next one if a partner may lie there.
 2. Each bucket counts the classes of its sketch words; words that only one class has are dropped there.
 3. A class keeps its rarest words: with j shared ones guaranteed, all but j - 1 have to be looked at, and words of one
    class alone count among those looked at. Boilerplate that many texts share comes last and is seldom reached.
-4. Rounds of star joins: in each group of classes with a common word, every class that is not yet in the centre's component is
-   verified against the centre only. Groups that hold one component are done; others go on with the pairs across components.
-   Groups of thousands of near copies thus cost a comparison for each member, not for each pair.
+4. A star join first: in each group of classes with a common word, every class is verified against the centre only, which is
+   the class with the fewest words of its own. Groups that then hold one component are done; in the others pairs across
+   components follow. Groups of thousands of near copies thus cost a comparison for each member, not for each pair.
+   Each class also has a parity sketch of 1,024 single bits: in how many bits two sketches differ is again a lower bound of
+   the symmetric difference, and the joins let only pairs through that it does not rule out.
 5. Pairs are verified on the whole sets, and links become components.
 
 Bounds: hashes have 64 bits. Sets of up to 64 shingles have one sketch word for each shingle; for larger ones the guarantee
@@ -28,12 +30,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weft.functions.lineage import cut, materialize
-from weft.llm.shingles import by_bucket, mix, shingle_set
+from weft.llm.shingles import by_bucket, frame, mix, shingle_set
 from weft.llm.text import maybe_broadcast, row_key
 from weft.operators.cluster import component_labels
 
@@ -41,6 +43,7 @@ PERCENT = 75
 RATIO = 4  # sizes of a band
 SMALL = 64  # largest set of the first band
 FLUSH = 1_000_000  # sketch words in a block set
+LONGS = 16  # of the bit sketch
 
 
 def _bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -67,6 +70,12 @@ def sketch(h: np.ndarray, high: int) -> np.ndarray:
     return np.sort(mix(words ^ mix(place[starts], high), high))
 
 
+def bit_sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes in each of LONGS * 64 places."""
+    counts = np.bincount((mix(h, 2) % np.uint64(LONGS * 64)).astype(np.int64), minlength=LONGS * 64)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch_words(h: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
     """(band end, words to look at, emitted words) for each band of a set."""
     out = []
@@ -80,17 +89,8 @@ def sketch_words(h: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int,
 
 # Rows of both kinds travel together: kind 0 is a document, kind 1 a block of sketch words (or, on the way out, one word).
 # Whole numbers are never null on the way through pandas, which would turn them into floats; ``known`` tells null ids.
-_EMIT = "kind int, bucket int, _d bigint, _h bigint, known boolean, n bigint, cls bigint, words binary, classes binary, looks binary, sizes binary"
-_FOUND = "kind int, _d bigint, _h bigint, known boolean, n bigint, cls bigint, band int, word bigint, df bigint, looks int, own int"
-
-
-def _frame(schema: str, rows: int, **given) -> pd.DataFrame:
-    """All columns of a schema; those not given are 0, false or null bytes."""
-    empty = {"binary": None, "boolean": False}
-    return pd.DataFrame({
-        name: given.get(name, np.full(rows, empty.get(kind, 0), object if kind == "binary" else bool if kind == "boolean" else np.int64))
-        for name, kind in (x.split() for x in schema.split(", "))
-    })
+_EMIT = "kind int, bucket int, _d bigint, _h bigint, known boolean, n bigint, cls bigint, bits array<bigint>, words binary, classes binary, looks binary, sizes binary"
+_FOUND = "kind int, _d bigint, _h bigint, known boolean, n bigint, cls bigint, bits array<bigint>, band int, word bigint, df bigint, looks int, own int"
 
 
 def _emit(frames, buckets: int, percent: int):
@@ -98,16 +98,17 @@ def _emit(frames, buckets: int, percent: int):
         words, cls, look, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         cut_ = [(b, words[r].tobytes(), cls[r].tobytes(), look[r].tobytes(), size[r].tobytes()) for b, r in by_bucket(words, buckets)]
         b, *binary = zip(*cut_, strict=True)
-        yield _frame(_EMIT, len(b), kind=np.ones(len(b), int), bucket=np.array(b), **dict(zip(("words", "classes", "looks", "sizes"), binary, strict=True)))
+        yield frame(_EMIT, len(b), kind=np.ones(len(b), int), bucket=np.array(b), **dict(zip(("words", "classes", "looks", "sizes"), binary, strict=True)))
 
     seen: set[int] = set()
     for f in frames:
-        n, classes, parts, held = [], [], [], 0
+        n, classes, bits, parts, held = [], [], [], [], 0
         for text in f["text"]:
             h = shingle_set(text)
             cls = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else 0
             n.append(len(h))
             classes.append(cls)
+            bits.append(bit_sketch(h))
             if not len(h) or cls in seen:
                 continue
             if len(seen) > 500_000:
@@ -123,13 +124,14 @@ def _emit(frames, buckets: int, percent: int):
         if parts:
             yield from blocks(parts)
         classes = np.array(classes, np.int64)
-        yield _frame(_EMIT, len(n), bucket=classes % buckets, _d=f["_d"], _h=f["_h"], known=f["known"], n=np.array(n, np.int64), cls=classes)
+        yield frame(_EMIT, len(n), bucket=classes % buckets, _d=f["_d"], _h=f["_h"], known=f["known"], n=np.array(n, np.int64), cls=classes,
+                     bits=pd.Series(bits, dtype=object))
 
 
 def _shared(f: pd.DataFrame) -> pd.DataFrame:
     """Documents pass through; of the sketch words those stay that two or more classes have."""
     docs, blocks = f[f["kind"] == 0], f[f["kind"] == 1]
-    out = [_frame(_FOUND, len(docs), **{c: docs[c].to_numpy() for c in ("_d", "_h", "known", "n", "cls")})]
+    out = [frame(_FOUND, len(docs), **{c: docs[c].to_numpy() for c in ("_d", "_h", "known", "n", "cls", "bits")})]
     if len(blocks):
         words, cls, look, size = (
             np.concatenate([np.frombuffer(x, t) for x in blocks[c]])
@@ -142,32 +144,43 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
         many = np.diff(np.r_[np.flatnonzero(np.r_[True, words[1:] != words[:-1]]), len(words)])
         df = np.repeat(many, many)
         keep = df > 1
-        out.append(_frame(
+        out.append(frame(
             _FOUND, int(keep.sum()), kind=np.ones(int(keep.sum()), int), cls=cls[keep], band=size[keep] >> 24,
             word=words[keep].view(np.int64), df=df[keep], looks=look[keep], own=size[keep] & ((1 << 24) - 1)))
     return pd.concat(out, ignore_index=True)
 
 
 def sketched(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents (_d, _h, doc_id, n, cls), and shared sketch words (cls, band, word, df, looks, own) of their classes."""
+    """Documents (_d, _h, doc_id, n, cls, bits), and shared sketch words (cls, band, word, df, looks, own) of their classes."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*row_key(), F.col("doc_id").isNotNull().alias("known"), "text")
     sent = rows.mapInPandas(lambda frames: _emit(frames, buckets, percent), _EMIT)
     found = materialize(sent.groupBy("bucket").applyInPandas(_shared, _FOUND), "sketches")
     return (
-        found.where("kind = 0").select("_d", "_h", F.expr("if(known, _d, null)").alias("doc_id"), "n", F.expr("if(n > 0, cls, null)").alias("cls")),
+        found.where("kind = 0").select("_d", "_h", F.expr("if(known, _d, null)").alias("doc_id"), "n", F.expr("if(n > 0, cls, null)").alias("cls"), "bits"),
         found.where("kind = 1").select("cls", "band", "word", "df", "looks", "own"),
     )
 
 
-def groups(shared: DataFrame) -> DataFrame:
-    """(word, cls, alone): the rarest words of a class that have to be looked at. ``alone`` counts its words that no other
-    class has; the original of many near copies has few."""
+def groups(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """(word, cls, alone, n, bits): the rarest words of a class that have to be looked at. ``alone`` counts its words that no
+    other class has; the original of many near copies has few."""
     by = Window.partitionBy("cls", "band")
     ranked = shared.withColumn("alone", F.col("own") - F.count(F.lit(1)).over(by)).withColumn("r", F.row_number().over(by.orderBy("df", "word")))
     kept = ranked.where(F.col("r") <= F.col("looks") - F.col("alone")).select("word", "cls", "alone")
-    return materialize(kept, "groups")
+    classes = found.where("cls is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
+    return materialize(kept.join(classes, "cls"), "groups")
+
+
+def possible(percent: int) -> Column:
+    """Whether sizes (n, m) and bit sketches (bits, other) leave room for a link."""
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("other", F.lit(i)))) for i in range(1, LONGS)),
+                F.bit_count(F.get("bits", F.lit(0)).bitwiseXOR(F.get("other", F.lit(0)))))
+    return (
+        (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
+    )
 
 
 def shingle_sets(docs: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,29 +204,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, found: DataFrame, shared: DataFrame, percent: int = PERCENT, stars: int = 2) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): verified links between classes that connect what any links connect."""
-    spark = docs.sparkSession
-    members = groups(shared)
+    members = groups(found, shared)
     sets = shingle_sets(docs, found, members.select("cls").distinct())
-    out = spark.createDataFrame([], "a bigint, b bigint")
-    labelled = members.withColumn("label", F.col("cls"))
-    for turn in range(stars + 1):
-        mixed = labelled.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("alone", "cls", "label")).alias("c"))
-        mixed = mixed.where("lo < hi").select("word", F.col("c.cls").alias("a"), F.col("c.label").alias("la"))
-        if turn < stars:
-            pairs = labelled.join(mixed, "word").where("label <> la").select("a", F.col("cls").alias("b"))
-        else:
-            open_ = labelled.join(mixed.select("word"), "word", "left_semi").select("word", "cls", "label")
-            other = open_.select("word", F.col("cls").alias("b"), F.col("label").alias("lb"))
-            pairs = open_.join(other, "word").where("label <> lb and cls < b").select(F.col("cls").alias("a"), "b")
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        out = cut(out.unionAll(verified(pairs, sets, percent)))
-        if turn < stars:
-            labels = component_labels(out.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            labels = labels.select(F.col("user_id").alias("cls"), F.col("super_id").alias("root"))
-            labelled = materialize(members.join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root"), "labelled")
-    return out
+    ordered = lambda df: materialize(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    centre = members.groupBy("word").agg(F.min(F.struct("alone", "cls", "n", "bits")).alias("c"))
+    centre = centre.select("word", F.col("c.cls").alias("a"), F.col("c.n").alias("m"), F.col("c.bits").alias("other"))
+    star = members.join(centre, (members["word"] == centre["word"]) & (F.col("cls") != F.col("a")) & possible(percent))
+    first = cut(verified(ordered(star.select("a", F.col("cls").alias("b"))), sets, percent))
+
+    labels = component_labels(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = labels.select(F.col("user_id").alias("cls"), F.col("super_id").alias("root"))
+    labelled = members.join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root", "alone")
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("word")
+    open_ = labelled.join(mixed, "word", "left_semi")
+    other = open_.select(F.col("word").alias("w"), F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    across = open_.join(other, (F.col("word") == F.col("w")) & (F.col("label") != F.col("lb")) & (F.col("cls") < F.col("b")) & possible(percent))
+    second = verified(ordered(across.select(F.col("cls").alias("a"), "b")), sets, percent)
+    return cut(first.unionAll(second))
 
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 CACHE_ENTRIES = 400_000
@@ -64,3 +65,12 @@ def by_bucket(order: np.ndarray, buckets: int):
         if end > start:
             yield b, rows[start:end]
         start = end
+
+
+def frame(schema: str, rows: int, **given) -> pd.DataFrame:
+    """All columns of a schema; those not given are 0, false or null."""
+    empty = {"binary": (None, object), "array<bigint>": (None, object), "boolean": (False, bool)}
+    return pd.DataFrame({
+        name: given.get(name, np.full(rows, *empty.get(kind, (0, np.int64))))
+        for name, kind in (x.split() for x in schema.split(", "))
+    })
