@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm import decontam, fixity, jaccard, packing, quality, sharding, substrings, toxicity
+from weft.llm import decontam, fixity, html, jaccard, packing, quality, sharding, substrings, toxicity
 from weft.llm.oracles import ORACLE
 from weft.llm.text import table
 
@@ -68,3 +68,9 @@ def op7_parity_sketch_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_block_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op9_block_labeller(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html.main_text(pages, html.train(pages))
