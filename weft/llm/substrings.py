@@ -204,9 +204,13 @@ def _exchange(rows: DataFrame, send, join, name: str) -> DataFrame:
     buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInPandas(lambda frames: send(frames, buckets), _SENT)
     found = materialize(sent.groupBy("bucket").applyInPandas(join, _SENT), name)
-    _release(rows)
+    del sent
+    _release(found)
     each = found.groupBy("flush").applyInPandas(_by_document, _DOCS)
-    return materialize(each.groupBy("_d", "_h").agg(F.collect_list("places").alias("places")), name)
+    out = materialize(each.groupBy("_d", "_h").agg(F.collect_list("places").alias("places")), name)
+    del each
+    _release(out)
+    return out
 
 
 def _release(df: DataFrame) -> None:
