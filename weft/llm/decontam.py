@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm.text import let, lower_ascii, maybe_broadcast, row_key
+from weft.llm.text import let, lower_ascii, maybe_broadcast, once, row_key
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,8 +135,8 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         _starts(F.col("_w"), c, window), lambda starts: F.struct(c["item_id"].alias("item_id"), F.flatten(F.transform(
             starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + F.least(F.size(c["words"]), F.lit(window)) - 1))).alias("at"))
     )), lambda m: F.size(m["at"]) > 0))
-    return joined.withColumn("_m", matched).select(
-        "_row", F.size("_w").cast("bigint").alias("n_words"),
+    return once(
+        joined.withColumn("_m", matched), F.size("_w").cast("bigint").alias("n_words"),
         F.coalesce(F.array_distinct(F.flatten(F.transform("_m", lambda m: m["at"]))), F.array().cast("array<int>")).alias("hits"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("_m", lambda m: m["item_id"]))), F.array().cast("array<string>")).alias("items"),
     )

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.text import SPACE_CHARS, let, words
+from weft.llm.text import SPACE_CHARS, let, once, words
 
 # Common words of the languages that have a reference.
 COMMON_WORDS = {
@@ -92,8 +92,8 @@ def features(docs: DataFrame) -> DataFrame:
         c, F.array((F.col("_chars") - F.aggregate(c, F.lit(0), lambda a, x: a + x)).cast("int"))))
     common = let(_counts(F.col("_common")), lambda c: F.concat(
         c, F.array((F.col("n_words") - F.aggregate(c, F.lit(0), lambda a, x: a + x)).cast("int"))))
-    return one.select(
-        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_chars",
+    return once(
+        one, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_chars",
         classes.alias("_classes"), common.alias("_common"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
     )

@@ -45,3 +45,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """Broadcast hint for a narrow table whose counted rows are few; beyond that the join is left to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def once(df: DataFrame, *columns) -> DataFrame:
+    """``df.select("_row", *columns)`` whose columns are computed once: a generator stands between them and what reads them,
+    so that no filter above repeats their expressions."""
+    return df.select("_row", F.explode(F.array(F.struct(*columns))).alias("_once")).select("_row", "_once.*")
