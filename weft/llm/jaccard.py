@@ -42,7 +42,7 @@ from weft.operators.cluster import component_labels
 PERCENT = 75
 RATIO = 4  # sizes of a band
 SMALL = 64  # largest set of the first band
-FLUSH = 1_000_000  # sketch words in a block set
+FLUSH = 400_000  # sketch words in a block set
 LONGS = 16  # of the bit sketch
 
 
@@ -111,7 +111,7 @@ def _emit(frames, buckets: int, percent: int):
             bits.append(bit_sketch(h))
             if not len(h) or cls in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.add(cls)
             for high, look, words in sketch_words(h, percent):

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _P2, _P3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
