@@ -120,18 +120,15 @@ def test_merge_analysis_counts_pairs_without_shared_items(spark):
     assert set(got) == {0, 4, 6}
     assert abs(got[0]["overlap_fraction"] - (1 / 3) / 3) < 1e-12 and got[0]["union_items"] == 4
     assert got[4]["overlap_fraction"] == 0 and got[6]["union_items"] == 0 and got[6]["information_loss"]
-    assert compare.merge_analysis(clusters, seen, max_clusters=2).count() == 2
 
 
-def test_report_limits_are_optional(spark):
+def test_reports_are_whole(spark):
     e = spark.createDataFrame([(0, i, float(i), i, 3, 3, i % 2 == 0) for i in range(1, 11)], "u bigint, v bigint, score double, common bigint, deg_u bigint, deg_v bigint, kept boolean")
     assert compare.removed_edges(e, 3).count() == 5
-    assert compare.removed_edges(e, 3, max_edges=2).count() == 2
     vec = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(4)], "user_id bigint, vec array<double>")
     m = spark.createDataFrame([(i, 0) for i in range(4)], "user_id bigint, super_id bigint")
     sup = vec.withColumnRenamed("user_id", "super_id")
     assert compare.embedding_drift(vec, sup, m).where("drift = 0 and cosine = 1 and cluster_size = 4").count() == 4
-    assert compare.embedding_drift(vec, sup, m, max_users=3).count() == 3
 
 
 def test_correlation_needs_two_runs_and_survives_constants(spark):
@@ -152,13 +149,14 @@ def test_propagation_with_isolated_node(spark):
     assert {r["id"]: list(r["vec"]) for r in relu.collect()} == {0: [0.0, 2.0], 1: [0.0, 1.0], 2: [0.0, 0.0]}
 
 
-def test_explanation_user_limit(spark):
+def test_explanation_log_is_whole(spark):
     x = spark.createDataFrame([(u, 1, 1, "embedding", 0, 0.0, 0, "t" * 300) for u in range(5)],
                               "user_id bigint, item_id bigint, rank int, reasoning_type string, num_contributing_users bigint, max_contribution_score double, max_common_items bigint, explanation_text string")
     paths = spark.createDataFrame([], "user_id bigint, item_id bigint, path_length bigint")
-    log = explain.explanation_log(x, paths, max_users=3)
-    assert sorted(r["user_id"] for r in log.collect()) == [0, 1, 2]
-    assert log.where(F.length("explanation_text") != 200).count() == 0
+    log = explain.explanation_log(x, paths)
+    assert log.count() == 5 and log.where(F.length("explanation_text") != 300).count() == 0
+    assert explain.explanation_log(x, paths, top_k=0).count() == 0
+    assert explain.explanation_log(x, paths, chars=200).where(F.length("explanation_text") != 200).count() == 0
 
 
 def test_sweep_grids():

@@ -64,10 +64,10 @@ def test_select_keeps_all_ties_at_the_percentile(edges):
     assert cograph.select_edges(e, 50.0).count() == 9
 
 
-def test_cap_neighbors_automatic_limit(edges):
+def test_cap_neighbors_needs_a_number(edges):
     e = edges([(0, i, 1.0) for i in range(1, 120)]).withColumn("common", F.lit(1))
-    assert cograph.cap_neighbors(e, 0, 1000).count() == 119
-    assert cograph.cap_neighbors(e, 0, 60_000).count() == 100
+    assert cograph.cap_neighbors(e).count() == 119
+    assert cograph.cap_neighbors(e, 100).count() == 100
 
 
 def test_bipartite_edges_directions(spark, pairs_of):
@@ -93,10 +93,10 @@ def test_prepare_loses_nobody(spark, sf, clustering):
     assert out.coarsened.agg(F.sum("cnt")).first()[0] == r.count()
 
 
-def test_prepare_skips_resistance_above_the_limit(spark, sf):
+def test_prepare_without_resistance(spark, sf):
     from weft.catalog.fixtures import ratings1
 
-    out = prepare(ratings1(spark, sf), Config(min_shared=2, resistance_user_limit=10))
+    out = prepare(ratings1(spark, sf), Config(min_shared=2, resistance="none"))
     s = out.stats.first()
     assert s["resistance_skipped"] and s["effective_alpha"] == 1.0
     assert out.edges.where("er <> 0").count() == 0

@@ -104,6 +104,14 @@ def test_k_core_holds_both_limits(ratings):
     assert core.groupBy("item_id").count().agg(F.min("count")).first()[0] >= 9
 
 
+def test_k_core_raises_when_unfinished(spark):
+    chain = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in (i, i + 1)] , "user_id bigint, item_id bigint, rating double")
+    assert prep.k_core(chain, 2, 2).count() == 0
+    assert prep.k_core_rounds(chain, 2, 2, 1).count() > 0
+    with pytest.raises(RuntimeError):
+        prep.k_core(chain, 2, 2, max_rounds=2)
+
+
 def test_remap_is_contiguous(spark):
     raw = spark.createDataFrame([("b", "y", 1.0), ("a", "z", 2.0), ("c", "y", 3.0)], "user_id string, item_id string, rating double")
     out, users, items = prep.remap_ids(raw)

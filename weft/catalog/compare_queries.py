@@ -164,7 +164,7 @@ def explanation_table(spark, sf, part: float = 2.0):
     return explain.explanation_log(explain.explain(r, ev, explain.item_popularity(seen)), explain.explanation_path(ev, seen))
 
 
-@query("h11_explanation_log", sql("""SELECT xp.* EXCLUDE (explanation_text), substr(explanation_text, 1, 200) AS explanation_text, coalesce(path_length, 0)::BIGINT AS path_length
+@query("h11_explanation_log", sql("""SELECT xp.*, coalesce(path_length, 0)::BIGINT AS path_length
     FROM xp LEFT JOIN pth USING (user_id, item_id)""", _EV_NEEDS, _EV))
 def h11(spark, sf):
     return explanation_table(spark, sf).withColumn("rank", big("rank"))
@@ -412,7 +412,7 @@ def h26(spark, sf):
 def e02(spark, sf):
     """Edge signs on the selected edges, whole graph."""
     chosen = cograph.select_edges(materialize(scored(spark, sf)), 70.0)
-    return er_sketch(chosen, k=16, iters=30, tol=1e-3, seed=SEED).select("u", "v", rnd("er", 4).alias("er"))
+    return er_sketch(chosen, k=16, iters=300, tol=1e-3, seed=SEED).select("u", "v", rnd("er", 4).alias("er"))
 
 
 _STATS = {

@@ -141,7 +141,7 @@ def b04(spark, sf):
 
 @query("b04_k_core_two_rounds", sql(f"SELECT {_R1} FROM i2", ["ratings1"], _core_rounds(2)))
 def b04_two(spark, sf):
-    return _rows(prep.k_core(ratings1(spark, sf), 28, 20, max_rounds=2))
+    return _rows(prep.k_core_rounds(ratings1(spark, sf), 28, 20, 2))
 
 
 @query("b05_remap_ids", sql("""SELECT dense_rank() OVER (ORDER BY 'c' || user_id) - 1 AS user_id,

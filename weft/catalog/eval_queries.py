@@ -29,7 +29,7 @@ def ratio_split(spark, sf):
     return train, prep.seen_items(train), prep.test_positives(test, TAU)
 
 
-_DRAW = "('0x' || substr(md5(concat_ws('|', '42', user_id, draw_no)), 1, 8))::BIGINT % (SELECT max(item_id) + 1 FROM {items})"
+_DRAW = "('0x' || substr(md5(concat_ws('|', '42', user_id, draw_no)), 1, 15))::BIGINT % (SELECT max(item_id) + 1 FROM {items})"
 
 
 def negative_ctes(truth: str, seen: str, items: str, draws: int, n: int, distinct: bool) -> dict[str, str]:

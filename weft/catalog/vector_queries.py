@@ -98,7 +98,7 @@ def f06(spark, sf):
     return long_form(propagate.attention_layer(both, vecs, ["s0", "s1"]).withColumn("head", big("head")), "id", "head")
 
 
-_TRIPLES = """SELECT user_id, item_id, rating, CAST(c AS BIGINT) AS copy, lo + ('0x' || substr(md5(concat_ws('|', '42', user_id, item_id, c)), 1, 8))::BIGINT % (hi - lo + 1) AS neg_item
+_TRIPLES = """SELECT user_id, item_id, rating, CAST(c AS BIGINT) AS copy, lo + ('0x' || substr(md5(concat_ws('|', '42', user_id, item_id, c)), 1, 15))::BIGINT % (hi - lo + 1) AS neg_item
     FROM p4, generate_series(0, 1) g(c), (SELECT min(item_id) AS lo, max(item_id) AS hi FROM p4)"""
 _P4 = {"p4": "SELECT user_id, item_id, rating FROM ratings1 WHERE rating >= 4"}
 

@@ -13,5 +13,5 @@ def draw_key(seed: int, *keys) -> Column:
 
 
 def draw_int(seed: int, *keys) -> Column:
-    """Seeded uniform integer in [0, 2^32)."""
-    return F.conv(F.substring(draw_key(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    """Seeded uniform integer in [0, 2^60)."""
+    return F.conv(F.substring(draw_key(seed, *keys), 1, 15), 16, 10).cast("bigint")

@@ -54,7 +54,8 @@ def co_occurrence(
     * an item that still has more than ``hot_degree`` users is cut into user blocks, and every pair of blocks is
       joined by its own key, so its pairs spread over many tasks.
 
-    ``observe`` may be an Observation; it then counts all pairs before the ``min_shared`` filter.
+    ``observe`` may be an Observation; it then counts all pairs before the ``min_shared`` filter, or holds null where the
+    hottest items stayed out of the join: pairs that meet in them alone were never formed.
     """
     by = by or []
     keep = max(min_shared, 1)
@@ -63,13 +64,15 @@ def co_occurrence(
     degrees = joined.groupBy("item_id", *by).agg(F.count(F.lit(1)).alias("item_deg"))
     hot = degrees.where(F.col("item_deg") > hot_degree)
     if hot.isEmpty():
+        hot = None
         counted = _count_pairs(joined, by, None, hot_degree)
     elif keep == 1:
         counted = _count_pairs(joined, by, hot, hot_degree)
     else:
         counted = _count_pairs_without_hottest(joined, by, hot, hot_degree, keep - 1)
     if observe is not None:
-        counted = counted.observe(observe, F.count(F.lit(1)).alias("pairs"))
+        whole = hot is None or keep == 1
+        counted = counted.observe(observe, (F.count(F.lit(1)) if whole else F.max(F.lit(None).cast("bigint"))).alias("pairs"))
     return counted.where(F.col("common") >= keep)
 
 
@@ -130,13 +133,10 @@ def _count_pairs_without_hottest(rows: DataFrame, by: list[str], hot: DataFrame,
     ).drop("_more")
 
 
-def cap_neighbors(edges: DataFrame, k: int = 0, num_users: int = 0) -> DataFrame:
-    """Per lower endpoint the ``k`` edges with most shared items (ties: lower v). ``k=0``: 100 above 50,000 users,
-    otherwise no cap."""
+def cap_neighbors(edges: DataFrame, k: int = 0) -> DataFrame:
+    """Per lower endpoint the ``k`` edges with most shared items (ties: lower v); without a positive ``k`` all edges."""
     if k <= 0:
-        if num_users <= 50_000:
-            return edges
-        k = 100
+        return edges
     w = Window.partitionBy("u").orderBy(F.desc("common"), F.asc("v"))
     return edges.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
@@ -184,18 +184,20 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 
 def blend_text_similarity(edges: DataFrame, vecs: DataFrame, a: float) -> DataFrame:
-    """``a * minmax(score) + (1 - a) * clip(dot, 0, 1)`` with unit text vectors (user_id, vec)."""
+    """``a * minmax(score) + (1 - a) * clip(dot, 0, 1)`` with unit text vectors (user_id, vec). Edges of users without a
+    vector stay, with text similarity 0."""
     if a >= 1.0:
         return edges
     v = vecs.select("user_id", as_double(F.col("vec")).alias("vec"))
-    both = edges.join(v.select(F.col("user_id").alias("u"), F.col("vec").alias("_tu")), "u").join(
-        v.select(F.col("user_id").alias("v"), F.col("vec").alias("_tv")), "v"
+    normed = minmax(edges, "score", "_norm", additive=False)
+    both = normed.join(v.select(F.col("user_id").alias("u"), F.col("vec").alias("_tu")), "u", "left").join(
+        v.select(F.col("user_id").alias("v"), F.col("vec").alias("_tv")), "v", "left"
     )
-    text = F.least(F.greatest(dot(F.col("_tu"), F.col("_tv")), F.lit(0.0)), F.lit(1.0))
-    normed = minmax(edges, "score", "_norm", additive=False).select("u", "v", "_norm")
+    text = F.least(F.greatest(F.coalesce(dot(F.col("_tu"), F.col("_tv")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return (
-        both.withColumn("text_score", text).drop("_tu", "_tv").join(normed, ["u", "v"])
+        both.withColumn("text_score", text).drop("_tu", "_tv")
         .withColumn("score", F.lit(a) * F.col("_norm") + F.lit(1.0 - a) * F.col("text_score")).drop("_norm")
+        .select(*edges.columns, "text_score")
     )
 
 

@@ -109,16 +109,14 @@ def graph_stats(cluster_map: DataFrame, uu_before: DataFrame, uu_after: DataFram
     )
 
 
-def embedding_drift(base: DataFrame, supers: DataFrame, cluster_map: DataFrame, normalize: bool = True, max_users: int | None = None) -> DataFrame:
+def embedding_drift(base: DataFrame, supers: DataFrame, cluster_map: DataFrame, normalize: bool = True) -> DataFrame:
     """Per user: L2 distance and cosine between its own vector and its super node's, with the cluster size.
 
-    ``normalize`` puts both sides on unit rows first. ``max_users`` keeps the first users by id (report limit)."""
+    ``normalize`` puts both sides on unit rows first."""
     own, theirs = base.select("user_id", as_double(F.col("vec")).alias("vec")), supers.select("super_id", as_double(F.col("vec")).alias("vec"))
     if normalize:
         own, theirs = l2_normalize(own), l2_normalize(theirs)
     rows = cluster_map.join(cluster_sizes(cluster_map), "super_id")
-    if max_users is not None:
-        rows = rows.orderBy("user_id").limit(max_users)
     both = rows.join(own.withColumnRenamed("vec", "a"), "user_id").join(theirs.withColumnRenamed("vec", "b"), "super_id")
     na, nb = norm(F.col("a")), norm(F.col("b"))
     return both.select(
@@ -140,17 +138,14 @@ def drift_summary(d: DataFrame) -> DataFrame:
     )
 
 
-def removed_edges(edges: DataFrame, threshold: int, max_edges: int | None = None, seed: int = 42) -> DataFrame:
+def removed_edges(edges: DataFrame, threshold: int) -> DataFrame:
     """Edges not kept, with their weight, shared items and degrees; weak = below the median weight of all candidate
-    edges, low_cointeraction = fewer than ``threshold`` shared items. ``max_edges`` draws a seeded sample."""
-    from weft.functions.seeded import draw_key
-
+    edges, low_cointeraction = fewer than ``threshold`` shared items."""
     median = quantiles(edges, "score", [0.5])[0]
-    rows = edges.where("not kept").select(
+    return edges.where("not kept").select(
         F.col("u").alias("user_u"), F.col("v").alias("user_v"), F.col("score").alias("edge_weight"), F.col("common").alias("common_items"),
         "deg_u", "deg_v", (F.col("score") < F.lit(median - 1e-12)).alias("is_weak"), (F.col("common") < threshold).alias("is_low_cointeraction"),
     )
-    return rows if max_edges is None else rows.orderBy(draw_key(seed, "user_u", "user_v")).limit(max_edges)
 
 
 def removed_edge_summary(x: DataFrame) -> DataFrame:
@@ -164,16 +159,12 @@ def removed_edge_summary(x: DataFrame) -> DataFrame:
     )
 
 
-def merge_analysis(cluster_map: DataFrame, seen: DataFrame, t: float = 0.3, max_clusters: int | None = None, seed: int = 42) -> DataFrame:
+def merge_analysis(cluster_map: DataFrame, seen: DataFrame, t: float = 0.3) -> DataFrame:
     """Per super node of two users or more: mean pairwise Jaccard of item sets, union size, gain and loss flags.
 
     Only pairs that share an item are formed (they meet on it); every other pair adds zero and is counted by
-    arithmetic. ``max_clusters`` draws a seeded sample of clusters."""
-    from weft.functions.seeded import draw_key
-
+    arithmetic."""
     sizes = cluster_sizes(cluster_map).where("size > 1")
-    if max_clusters is not None:
-        sizes = sizes.orderBy(draw_key(seed, "super_id")).limit(max_clusters)
     members = cluster_map.join(sizes.select("super_id"), "super_id", "left_semi")
     items = seen.select("user_id", "item_id").distinct().join(members, "user_id")
     degrees = items.groupBy("user_id").agg(F.count(F.lit(1)).alias("deg"))

@@ -35,21 +35,38 @@ def min_interactions(r: DataFrame, n: int) -> DataFrame:
     return r.join(activity(r).where(F.col("n") >= n).select("user_id"), "user_id", "left_semi")
 
 
+def _core_round(pairs: DataFrame, k_user: int, k_item: int) -> DataFrame:
+    """One pass of the user filter and the item filter over (user_id, item_id, n), n counting the rows of a pair."""
+    for key, k in (("user_id", k_user), ("item_id", k_item)):
+        enough = pairs.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") >= k).select(key)
+        pairs = pairs.join(enough, key, "left_semi")
+    return cut(pairs)
+
+
+def _core_pairs(r: DataFrame) -> DataFrame:
+    return cut(r.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")))
+
+
 def k_core(r: DataFrame, k_user: int, k_item: int, max_rounds: int = 100) -> DataFrame:
-    """Repeat the user and item filters until the row count stops changing."""
-    current = cut(r)
-    size = current.count()
+    """Repeat the user and item filters until nothing changes; raises when ``max_rounds`` do not suffice. The rounds carry
+    pairs and their counts only, the rows follow by one join at the end."""
+    pairs = _core_pairs(r)
+    size = pairs.count()
     for _ in range(max_rounds):
-        kept = current
-        for key, k in (("user_id", k_user), ("item_id", k_item)):
-            enough = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(key)
-            kept = kept.join(enough, key, "left_semi")
-        kept = cut(kept)
-        kept_size = kept.count()
-        if kept_size == size:
-            return kept
-        current, size = kept, kept_size
-    return current
+        pairs = _core_round(pairs, k_user, k_item)
+        kept = pairs.count()
+        if kept == size:
+            return r.join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").select(*r.columns)
+        size = kept
+    raise RuntimeError(f"the core did not settle in {max_rounds} rounds")
+
+
+def k_core_rounds(r: DataFrame, k_user: int, k_item: int, rounds: int) -> DataFrame:
+    """A fixed number of rounds of the two filters: not a core in general."""
+    pairs = _core_pairs(r)
+    for _ in range(rounds):
+        pairs = _core_round(pairs, k_user, k_item)
+    return r.join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").select(*r.columns)
 
 
 def dense_ids(r: DataFrame, col: str) -> DataFrame:

@@ -40,7 +40,7 @@ def _right_side(edges: DataFrame, k: int, seed: int, signs: str) -> DataFrame:
 def er_sketch(edges: DataFrame, k: int = 32, iters: int = 200, tol: float = 1e-6, seed: int = 42, signs: str = "edge") -> DataFrame:
     """Add ``er``: squared distance of the sketch rows of both ends.
 
-    Solves ``L z = b`` for all ``k`` right sides at once. The state is one row per node; a step is one join of the
+    Raises when ``iters`` steps do not reach ``tol``. Solves ``L z = b`` for all ``k`` right sides at once. The state is one row per node; a step is one join of the
     adjacency with the search directions, one aggregate with map-side combine, and ``3k`` numbers to the driver. The
     right side sums to zero inside every component, so the singular system is consistent. Edge signs estimate the
     effective resistance; node signs give distances under the squared pseudo-inverse."""
@@ -75,6 +75,8 @@ def er_sketch(edges: DataFrame, k: int = 32, iters: int = 200, tol: float = 1e-6
         )
         if np.all(left <= tol * tol * np.maximum(first, 1e-300)):
             break
+    else:
+        raise RuntimeError(f"resistances did not reach the tolerance {tol} in {iters} steps")
     z = state.select("id", F.col("x").alias("z"))
     both = e.join(z.select(F.col("id").alias("u"), F.col("z").alias("_a")), "u").join(z.select(F.col("id").alias("v"), F.col("z").alias("_b")), "v")
     gap = subtract(F.col("_a"), F.col("_b"))

@@ -31,14 +31,14 @@ def er_degree(edges: DataFrame) -> DataFrame:
     return edges.withColumn("er", 1.0 / (F.col("deg_u") + F.col("deg_v") + F.lit(1e-8)))
 
 
-def effective_alpha(num_users: int, limit: int, alpha: float) -> float:
-    """Above a positive user limit resistance is skipped, which leaves the score alone in charge."""
-    return 1.0 if limit > 0 and num_users > limit else alpha
+def effective_alpha(method: str, alpha: float) -> float:
+    """Without a resistance the score alone is in charge."""
+    return 1.0 if method == "none" else alpha
 
 
-def with_resistance(edges: DataFrame, method: str, num_users: int = 0, limit: int = 0, **options) -> DataFrame:
-    """Resistance by method name, or zeros when skipped."""
-    if limit > 0 and num_users > limit:
+def with_resistance(edges: DataFrame, method: str, **options) -> DataFrame:
+    """Resistance by method name; ``none`` gives zeros."""
+    if method == "none":
         return edges.withColumn("er", F.lit(0.0))
     if method == "local":
         return er_local(edges, options.get("use_common", True))

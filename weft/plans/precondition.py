@@ -18,14 +18,14 @@ class Config:
     mode: str = "cosine"
     min_shared: int = 1
     max_item_degree: int = 0
-    max_neighbors: int = -1  # -1 no cap, 0 automatic, otherwise edges per lower endpoint
+    max_neighbors: int = 0  # edges per lower endpoint; 0: all
     score_percentile: float = 70.0
     score_topk: int | None = None
     clustering: str = "matching"  # or "components"
     prefer: str = "heaviest"
     max_cluster_size: int = 2
-    resistance: str = "local"
-    resistance_user_limit: int = 0
+    resistance: str = "local"  # or "degree", "sketch", "none"
+    resistance_options: tuple[tuple[str, object], ...] = ()  # e.g. (("k", 64), ("tol", 1e-4), ("seed", 7)) of the sketch
     alpha: float = 0.5
     importance_percentile: float = 50.0
     importance_topk: int | None = None
@@ -39,21 +39,18 @@ class Prepared:
     stats: DataFrame  # one row
 
 
-def scored_edges(r: DataFrame, cfg: Config) -> tuple[DataFrame, int]:
-    """Materialised scored edges and the number of pairs before the min_shared filter."""
+def scored_edges(r: DataFrame, cfg: Config) -> tuple[DataFrame, int | None]:
+    """Materialised scored edges and the number of pairs before the min_shared filter (None where hot items stayed out of
+    the join, so that it is not known)."""
     seen_pairs = Observation("pairs_before_shared")
     pairs = cograph.co_occurrence(positives(r, cfg.tau), cfg.min_shared, cfg.max_item_degree, observe=seen_pairs)
-    if cfg.max_neighbors >= 0:
-        users = r.select("user_id").distinct().count() if cfg.max_neighbors == 0 else 0
-        pairs = cograph.cap_neighbors(pairs, cfg.max_neighbors, users)
-    edges = materialize(cograph.score_edges(pairs, cfg.mode), "edges")
-    return edges, int(seen_pairs.get["pairs"])
+    edges = materialize(cograph.score_edges(cograph.cap_neighbors(pairs, cfg.max_neighbors), cfg.mode), "edges")
+    return edges, seen_pairs.get["pairs"]
 
 
 def prepare(r: DataFrame, cfg: Config = Config(), edges: DataFrame | None = None, pairs_before: int | None = None) -> Prepared:
     """Run the preparation on ratings (user_id, item_id, rating). ``edges`` may bring scored edges already counted."""
     users = cut(r.select("user_id").distinct())
-    num_users = users.count()
     if edges is None:
         edges, pairs_before = scored_edges(r, cfg)
     active = cfg.score_percentile
@@ -64,9 +61,8 @@ def prepare(r: DataFrame, cfg: Config = Config(), edges: DataFrame | None = None
         clusters = cut(cluster.match_heavy_edges(chosen, users, cfg.max_cluster_size, cfg.prefer))
     else:
         raise ValueError(f"unknown clustering {cfg.clustering!r}")
-    limit = cfg.resistance_user_limit
-    alpha = sparsify.effective_alpha(num_users, limit, cfg.alpha)
-    weighed = sparsify.importance(sparsify.with_resistance(chosen, cfg.resistance, num_users, limit), alpha)
+    alpha = sparsify.effective_alpha(cfg.resistance, cfg.alpha)
+    weighed = sparsify.importance(sparsify.with_resistance(chosen, cfg.resistance, **dict(cfg.resistance_options)), alpha)
     kept = materialize(sparsify.sparsify(materialize(weighed, "weighed"), cfg.importance_percentile, cfg.importance_topk), "kept")
     return Prepared(clusters, kept, cograph.coarsen_interactions(r, clusters), _stats(r, cfg, edges, kept, clusters, pairs_before, active, alpha))
 
@@ -82,7 +78,7 @@ def _stats(r, cfg, edges, kept, clusters, pairs_before, active, alpha) -> DataFr
         n(edges).alias("uu_edges_all"), hc.select("hc").scalar().alias("uu_edges_selected"), hc.select("pruned").scalar().alias("uu_edges_pruned"),
     )
     ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    skipped = cfg.resistance_user_limit > 0 and alpha == 1.0 and cfg.alpha != 1.0
+    skipped = cfg.resistance == "none"
     return base.select(
         "*", ratio("uu_edges_selected", "uu_edges_all").alias("edge_retention_ratio"), ratio("uu_edges_pruned", "uu_edges_selected").alias("pruned_fraction"),
         F.lit(cfg.mode).alias("mode"), F.lit(cfg.min_shared).cast("bigint").alias("min_shared"), F.lit(float(active)).alias("active_percentile"),

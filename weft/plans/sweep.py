@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.operators.cograph import co_occurrence, score_edges
+from weft.operators.cograph import cap_neighbors, co_occurrence, score_edges
 from weft.operators.prep import positives, top_fraction_users
 from weft.operators.runs import sweep_grid
 from weft.plans.precondition import Config, prepare
@@ -24,10 +24,11 @@ def run_sweep(r: DataFrame, grid: list[tuple[str, float, int]] | None = None, cf
     for fraction in sorted({f for _, f, _ in grid}):
         part = materialize(top_fraction_users(r, fraction), "ratings")
         mine = [(m, s) for m, f, s in grid if f == fraction]
-        pairs = materialize(co_occurrence(positives(part, cfg.tau), min(s for _, s in mine), cfg.max_item_degree), "pairs")
-        before = pairs.count()
+        seen = Observation("pairs_before_shared")
+        pairs = materialize(co_occurrence(positives(part, cfg.tau), min(s for _, s in mine), cfg.max_item_degree, observe=seen), "pairs")
+        before = seen.get["pairs"]
         for mode, shared in mine:
-            edges = score_edges(pairs.where(F.col("common") >= shared), mode)
+            edges = score_edges(cap_neighbors(pairs.where(F.col("common") >= shared), cfg.max_neighbors), mode)
             stats = prepare(part, replace(cfg, mode=mode, min_shared=shared), edges, before).stats.withColumn("fraction", F.lit(fraction))
             out = stats if out is None else out.unionByName(stats)
     return out
