@@ -341,15 +341,27 @@ _BIPSTATS = {
 }
 
 
-@query("h23_bipartite_stats", sql("""SELECT CAST(nu + ni AS BIGINT) AS num_nodes, (SELECT count(*) FROM inter) AS num_edges, round(2 * (SELECT count(*) FROM inter) / (nu + ni), 4) AS avg_degree,
+_BIPSTATS_SQL = """SELECT CAST(nu + ni AS BIGINT) AS num_nodes, (SELECT count(*) FROM inter) AS num_edges, round(2 * (SELECT count(*) FROM inter) / (nu + ni), 4) AS avg_degree,
     (SELECT max(d) FROM dg) AS max_degree, CASE WHEN (SELECT count(*) FROM dg) < nu + ni THEN 0 ELSE (SELECT min(d) FROM dg) END AS min_degree,
     round(2 * (SELECT count(*) FROM inter) / ((nu + ni) * (nu + ni - 1)), 8) AS density,
-    CAST((SELECT count(DISTINCT label) FROM lab) + nu + ni - (SELECT count(*) FROM dg) AS BIGINT) AS num_components FROM sz""", ["ratings1", "users", "items"], _BIPSTATS).replace("WITH ", "WITH RECURSIVE ", 1))
+    CAST((SELECT count(DISTINCT label) FROM lab) + nu + ni - (SELECT count(*) FROM dg) AS BIGINT) AS num_components FROM sz"""
+
+
+@query("h23_bipartite_stats", sql(_BIPSTATS_SQL, ["ratings1", "users", "items"], {**_BIPSTATS, "inter": "SELECT DISTINCT user_id, item_id FROM ratings1"}).replace("WITH ", "WITH RECURSIVE ", 1))
 def h23(spark, sf):
-    """Five-star interactions only, so that nodes without edges and several components occur."""
+    return _bipartite_stats(spark, sf, 0.0)
+
+
+@query("h23_bipartite_stats_five_star", sql(_BIPSTATS_SQL, ["ratings1", "users", "items"], _BIPSTATS).replace("WITH ", "WITH RECURSIVE ", 1))
+def h23_five(spark, sf):
+    """The feature is the selection: nodes without edges and several components occur."""
+    return _bipartite_stats(spark, sf, 5.0)
+
+
+def _bipartite_stats(spark, sf, least):
     r = ratings1(spark, sf)
     nu, ni = r.select("user_id").distinct().count(), r.select("item_id").distinct().count()
-    s = compare.bipartite_stats(prep.positives(r, 5.0), nu, ni)
+    s = compare.bipartite_stats(prep.positives(r, least), nu, ni)
     return s.select("num_nodes", "num_edges", rnd("avg_degree", 4).alias("avg_degree"), big("max_degree").alias("max_degree"), big("min_degree").alias("min_degree"), rnd("density", 8).alias("density"), "num_components")
 
 
@@ -380,6 +392,14 @@ def h25(spark, sf):
     return compare.sample_comparison(recs(spark, sf), recs(spark, sf, 3.0), 20)
 
 
+@query("h25_sample_explanations", sql("""SELECT xp.*, coalesce(path_length, 0)::BIGINT AS path_length, 'baseline' AS run_type FROM xp LEFT JOIN pth USING (user_id, item_id)
+    WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM ra SEMI JOIN rb USING (user_id)) ORDER BY user_id LIMIT 20)""", _EV_NEEDS, {**_EV, **_B}))
+def h25_explanations(spark, sf):
+    """The baseline's side of the sample; the oracle has no explanations of the reduced run."""
+    both = compare.sample_explanations(explanation_table(spark, sf), explanation_table(spark, sf, 3.0), 20)
+    return both.where("run_type = 'baseline'").withColumn("rank", big("rank"))
+
+
 _OBS = {**_PRESERVE, **_DRIFT, **kept_ctes(0.5), **_GRAPH, "rm": _REMOVED["rm"], **_MERGE, "ds": _DRIFT_SUMMARY,
     "ac": """SELECT avg(CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) * 10 AS nb, count(*) AS n FROM ra LEFT JOIN truth t USING (user_id, item_id)""",
     "pn": """SELECT (SELECT sum(CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) FROM ra LEFT JOIN truth t USING (user_id, item_id)) / (SELECT count(*) FROM truth) AS b,

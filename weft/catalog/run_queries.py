@@ -13,7 +13,9 @@ from weft.catalog.fixtures import big, rnd, table
 from weft.catalog.registry import Section
 from weft.functions.lineage import materialize, scratch_path
 from weft.operators import compare, evaluate, runs
-from weft.sources.runs import EPOCH_SCHEMA, EVAL_SCHEMA, read_jsonl, read_jsonl_ordered, read_runs, write_result
+from weft.sources.runs import (
+    EPOCH_SCHEMA, EVAL_SCHEMA, TABLE_COLUMNS, pipeline_speedup, read_jsonl, read_jsonl_ordered, read_pipeline_log, read_runs, write_result,
+)
 
 section = Section()
 query = section.query
@@ -125,6 +127,55 @@ def eval_log(spark, sf, seq):
     return path
 
 
+def pipeline_log(spark, sf) -> str:
+    """A pipeline log as JSON lines: one coarsen record for each score mode, and the speedup record of all models."""
+    path = scratch_path(spark, "pipeline")
+    r = materialize(records(spark, sf), "records")
+    coarsen = r.groupBy("mode").agg(F.round(F.sum("time_s"), 4).alias("time_s"), F.count(F.lit(1)).alias("num_users")).select(
+        F.to_json(F.struct(F.lit("coarsen").alias("stage"), "time_s", "num_users")).alias("value"))
+    side = lambda kind, c: F.sum(F.when(F.col("run_type") == kind, c))
+    times = r.groupBy("model").agg(
+        *[side(k, F.col("time_s")).alias(f"{k}_avg_epoch_time_s") for k in ("baseline", "reduced")], *[side(k, F.lit(1.0)).alias(f"{k}_max_gpu_mem_mb") for k in ("baseline", "reduced")])
+    pairs = times.select(F.explode(F.array(*[F.struct(F.concat("model", F.lit(f"_{c}")).alias("k"), F.col(c).alias("v")) for c in times.columns[1:]])).alias("p"))
+    entry = pairs.groupBy().agg(F.map_from_entries(F.collect_list("p")).alias("m"))  # four numbers for each model
+    speed = entry.select(F.to_json(F.map_concat(F.create_map(F.lit("stage"), F.lit("speedup")), F.transform_values("m", lambda _, v: v.cast("string")))).alias("value"))
+    coarsen.unionAll(speed).write.text(path)
+    return path
+
+
+@query("a03_read_pipeline_log", _sql("""SELECT 'coarsen' AS stage, 'time_s' AS key, round(sum(time_s), 2) AS value, 1::BIGINT AS n FROM rec GROUP BY mode
+    UNION ALL SELECT 'coarsen', 'num_users', count(*)::DOUBLE, 1 FROM rec GROUP BY mode
+    UNION ALL SELECT 'speedup', model || '_' || run_type || '_avg_epoch_time_s', round(sum(time_s), 2), 1 FROM rec GROUP BY model, run_type
+    UNION ALL SELECT 'speedup', model || '_' || run_type || '_max_gpu_mem_mb', count(*)::DOUBLE, 1 FROM rec GROUP BY model, run_type"""))
+def a03_pipeline_log(spark, sf):
+    return read_pipeline_log(spark, pipeline_log(spark, sf)).withColumn("value", rnd("value", 2)).withColumn("n", F.lit(1).cast("bigint"))
+
+
+def _table_frame(spark, sf, name):
+    """A few of a table's columns, and one more that it does not have."""
+    r = records(spark, sf)
+    own = {"memory_usage": ("stage", "elapsed_s"), "speedup_results": ("model", "speedup_factor"), "reduction_stats": ("stage", "edges_removed"), "preprocessing_time": ("stage", "elapsed_s")}[name]
+    return r.groupBy(F.col("model").alias(own[0])).agg(rnd(F.sum("time_s"), 2).alias(own[1]), F.count(F.lit(1)).alias("extra"))
+
+
+def _canonical_table(name):
+    columns = TABLE_COLUMNS[name]
+    own = {"speedup_results": "speedup_factor", "reduction_stats": "edges_removed"}.get(name, "elapsed_s")
+    oracle = _sql(f"SELECT model AS first, round(sum(time_s), 2) AS own, {len(columns) - 2}::BIGINT AS missing, count(*) AS extra FROM rec GROUP BY model")
+
+    @query(f"a04_{name}", oracle)
+    def written(spark, sf):
+        path = scratch_path(spark, name)
+        write_result(_table_frame(spark, sf, name), path, "csv", columns)
+        back = spark.read.schema(", ".join(f"`{c}` string" for c in [*columns, "extra"])).option("header", True).option("enforceSchema", False).csv(path)
+        missing = sum((F.col(f"`{c}`").isNull().cast("bigint") for c in columns if c not in (columns[0], own)), F.lit(0).cast("bigint"))
+        return back.select(F.col(columns[0]).alias("first"), rnd(F.col(own).cast("double"), 2).alias("own"), missing.alias("missing"), big("extra"))
+
+
+for _name in ("memory_usage", "speedup_results", "reduction_stats", "preprocessing_time"):
+    _canonical_table(_name)
+
+
 _LAST = """lastr AS (SELECT model, run_type, arg_max(struct_pack(ndcg := ndcg, precision := precision, recall := recall, time_s := time_s), (seq, line_no, part, supp, price, precision)) AS r FROM rec GROUP BY 1, 2),
   lb AS (SELECT model, r AS b FROM lastr WHERE run_type = 'baseline'), lr AS (SELECT model, r FROM lastr WHERE run_type = 'reduced'),
   sp AS (SELECT model, sum(time_s) FILTER (run_type = 'baseline') AS bt, sum(time_s) FILTER (run_type = 'reduced') AS rt, count(*) FILTER (run_type = 'baseline') AS bm, count(*) FILTER (run_type = 'reduced') AS rm FROM rec GROUP BY 1)"""
@@ -137,11 +188,7 @@ def i01(spark, sf):
     seq = F.struct("seq", "line_no", "part", "supp", "price", "precision").alias("seq")
     path = eval_log(spark, sf, [seq])
     log = read_jsonl_ordered(spark, path, EVAL_SCHEMA, "seq struct<seq: bigint, line_no: bigint, part: bigint, supp: bigint, price: double, precision: double>")
-    side = lambda kind, c, name: F.sum(F.when(F.col("run_type") == kind, c)).alias(name)
-    speed = records(spark, sf).groupBy("model").agg(
-        side("baseline", F.col("time_s"), "base_time_s"), side("reduced", F.col("time_s"), "reduced_time_s"), side("baseline", F.lit(1), "base_mem_mb"), side("reduced", F.lit(1), "reduced_mem_mb")
-    )
-    c = runs.compare_runs(log, speed)
+    c = runs.compare_runs(log, pipeline_speedup(read_pipeline_log(spark, pipeline_log(spark, sf))))
     take = lambda m, kind: rnd(F.col(f"`{m}_{kind}`"))
     return c.select(
         "model", take("NDCG@10", "reduced").alias("ndcg_reduced"), take("NDCG@10", "baseline").alias("ndcg_baseline"), take("NDCG@10", "delta").alias("ndcg_delta"),

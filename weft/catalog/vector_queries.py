@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weft.catalog.fixtures import (
@@ -9,6 +10,7 @@ from weft.catalog.fixtures import (
 )
 from weft.catalog.registry import Section
 from weft.functions.lineage import materialize
+from weft.functions.vectors import vector_dim
 from weft.operators import cluster, cograph, factors, prep, propagate
 
 section = Section()
@@ -81,6 +83,28 @@ def f05(spark, sf):
     return long_form(propagate.mean_layer(*bipartite(spark, sf)), "id")
 
 
+def _dense(dim: int, out: int = 5) -> np.ndarray:
+    return np.array([[((7 * i + 3 * j) % 5 - 2) / 4 for j in range(out)] for i in range(dim)])
+
+
+_WITH_LAYER = """SELECT id, CAST(j + 1 AS BIGINT) AS d, round(greatest(sum(x * ((7 * (d - 1) + 3 * j) % 5 - 2) / 4.0), 0), 6) + 0.0 AS x
+    FROM raw, range(5) AS r(j) GROUP BY 1, 2"""
+
+
+@query("f04_gcn_dense_layer", sql(_WITH_LAYER, _BIP_NEEDS, {**_BIP, "raw": """SELECT id, d, sum(x) AS x FROM (
+    SELECT e.dst AS id, d, x / sqrt((a.deg + 1) * (b.deg + 1)) AS x FROM e JOIN x0 ON x0.id = e.src JOIN nd a ON a.id = e.src JOIN nd b ON b.id = e.dst
+    UNION ALL SELECT x0.id, d, x / (nd.deg + 1) FROM x0 JOIN nd ON nd.id = x0.id) GROUP BY 1, 2"""}))
+def f04_dense(spark, sf):
+    edges, vecs = bipartite(spark, sf)
+    return long_form(propagate.gcn_layer(edges, vecs, _dense(vector_dim(vecs)), relu=True), "id")
+
+
+@query("f05_mean_dense_layer", sql(_WITH_LAYER, _BIP_NEEDS, {**_BIP, "raw": "SELECT e.dst AS id, d, avg(x) AS x FROM e JOIN x0 ON x0.id = e.src GROUP BY 1, 2"}))
+def f05_dense(spark, sf):
+    edges, vecs = bipartite(spark, sf)
+    return long_form(propagate.mean_layer(edges, vecs, _dense(vector_dim(vecs)), relu=True), "id")
+
+
 _HEADS = {
     "sy": "SELECT u AS src, v AS dst, score AS s0, -score AS s1 FROM cos_edges UNION ALL SELECT v, u, score, -score FROM cos_edges",
     "h": "SELECT src, dst, 0 AS head, s0 AS s FROM sy UNION ALL SELECT src, dst, 1, s1 FROM sy",

@@ -298,6 +298,14 @@ def sample_comparison(a: DataFrame, b: DataFrame, n: int, k: int = 10) -> DataFr
     return listed(a, "baseline_items").join(listed(b, "reduced_items"), "user_id")
 
 
+def sample_explanations(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """Explained lists of the first ``n`` users (by id) present in both runs, one row for each run and item, for review.
+    ``a`` and ``b`` are explanation logs of the baseline and of the reduced run."""
+    users = a.select("user_id").distinct().join(b.select("user_id").distinct(), "user_id", "left_semi").orderBy("user_id").limit(n)
+    tagged = a.withColumn("run_type", F.lit("baseline")).unionByName(b.withColumn("run_type", F.lit("reduced")))
+    return tagged.join(users, "user_id", "left_semi").select("user_id", "run_type", *[c for c in a.columns if c != "user_id"])
+
+
 def observations(accuracy: DataFrame, graph: DataFrame, overlaps: DataFrame, drift: DataFrame, removed: DataFrame, merged: DataFrame) -> DataFrame:
     """(topic, subject, value, detail): one row per finding, from the summary tables."""
     row = lambda df, topic, subject, value, detail: df.select(

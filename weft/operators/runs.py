@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METRICS = ["NDCG@10", "Precision@10", "Recall@10", "RMSE", "MAE"]
 KEYS = ["mode", "fraction", "min_shared", "model"]
 
-# The sweep grid and its ordered variant
+# Metric names, the sweep grid and its ordered variant
+METRICS = ["NDCG@10", "Precision@10", "Recall@10", "RMSE", "MAE"]
 MODES = ["cosine", "forman_ricci"]
 FRACTIONS = [0.25, 0.5, 0.75, 1.0]
 MIN_SHARED = [1, 3, 5]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Field names of the log and result files
 EPOCH_SCHEMA = (
     "run string, epoch bigint, loss double, bpr_loss double, reg_loss double, steps bigint, time_s double, "
     "gpu_mem_mb double, lr double, type string"
@@ -39,6 +40,24 @@ def read_jsonl_ordered(spark: SparkSession, path: str, schema: str, seq: str = "
     return read_jsonl(spark, path, f"{schema}, {seq}")
 
 
+def read_pipeline_log(spark: SparkSession, path: str) -> DataFrame:
+    """(stage, key, value) of a pipeline log: JSON lines that name a stage and hold numbers under keys that vary with the
+    models of the run; malformed lines, null values and what is no number are dropped."""
+    fields = F.from_json("value", "map<string, string>")
+    rows = spark.read.text(path).select(fields.alias("m")).where("m['stage'] is not null")
+    long = rows.select(F.expr("m['stage']").alias("stage"), F.explode("m").alias("key", "v")).where("key <> 'stage'")
+    return long.select("stage", "key", F.col("v").try_cast("double").alias("value")).where("value is not null")
+
+
+def pipeline_speedup(log: DataFrame, baseline: str = "baseline", reduced: str = "reduced") -> DataFrame:
+    """(model, base_time_s, reduced_time_s, base_mem_mb, reduced_mem_mb) from the ``speedup`` stage, whose keys are
+    ``<model>_<run>_avg_epoch_time_s`` and ``<model>_<run>_max_gpu_mem_mb``."""
+    names = {f"{baseline}_avg_epoch_time_s": "base_time_s", f"{reduced}_avg_epoch_time_s": "reduced_time_s", f"{baseline}_max_gpu_mem_mb": "base_mem_mb", f"{reduced}_max_gpu_mem_mb": "reduced_mem_mb"}
+    part = lambda i: F.regexp_extract("key", f"^(.+)_({'|'.join(names)})$", i)
+    rows = log.where("stage = 'speedup'").select(part(1).alias("model"), part(2).alias("name"), "value").where("model <> ''")
+    return rows.groupBy("model").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(n) for k, n in names.items()])
+
+
 def run_parameters(path: Column) -> list[Column]:
     """mode, fraction and min_shared from a run's directory name; "025" is 0.25 and "10" is 1.0."""
     part = lambda i: F.regexp_extract(path, RUN_DIRECTORY, i)
@@ -74,8 +93,18 @@ def _as_fields(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (p.rsplit(" ", 1) for p in ddl.split(", ")))
 
 
-# canonical column order of the metrics table
+# The canonical columns of the result tables
 METRICS_COLUMNS = ["model", "run_type", "Precision@10", "Recall@10", "NDCG@10", "HitRate@10", "RMSE", "MAE"]
+TABLE_COLUMNS = {
+    "metrics": METRICS_COLUMNS,
+    "memory_usage": ["stage", *"cpu_rss_start_MB cpu_rss_end_MB cpu_rss_delta_MB gpu_alloc_start_MB gpu_alloc_end_MB gpu_peak_MB gpu_util_start_pct gpu_util_end_pct elapsed_s".split()],
+    "speedup_results": ["model", *"""training_time_original_s training_time_reduced_s speedup_factor GPU_memory_original_MB GPU_memory_reduced_MB GPU_memory_reduction_pct
+        CPU_memory_original_MB CPU_memory_reduced_MB CPU_memory_reduction_pct training_throughput_original training_throughput_reduced
+        GPU_utilization_original_pct GPU_utilization_reduced_pct""".split()],
+    "reduction_stats": ["stage", *"""nodes_before nodes_after edges_before edges_after edges_removed reduction_percent avg_degree_before avg_degree_after density_before
+        density_after memory_before_MB memory_after_MB""".split()],
+    "preprocessing_time": ["stage", "elapsed_s", "description"],
+}
 
 
 def canonical(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
