@@ -10,7 +10,7 @@ from weft.catalog.fixtures import (
 )
 from weft.catalog.registry import Section
 from weft.functions.lineage import materialize
-from weft.functions.vectors import vector_dim
+from weft.functions.vectors import dot, vector_dim
 from weft.operators import cluster, cograph, factors, prep, propagate
 
 section = Section()
@@ -202,6 +202,33 @@ def f10_scaled(spark, sf):
     return long_form(propagate.blend_content(item_vectors(spark, sf), item_features(spark, sf), 0.2, "scaled"), "item_id")
 
 
+@query("f11_reduce_features_dots", sql("""SELECT a.item_id, round(1e-4 * list_inner_product(a.f, b.f) / greatest(sqrt(list_inner_product(a.f, a.f) * list_inner_product(b.f, b.f)), 1e-30) * 1e4, 5) + 0.0 AS cosine
+    FROM ft a JOIN ft b ON b.item_id = a.item_id + 1""", ["ivec"], {"ft": "SELECT item_id, list_append(vec, vec[1]) AS f FROM ivec"}))
+def f11_dots(spark, sf):
+    """The last feature repeats the first, so the reduction loses nothing: dot products of neighbours stay, whatever signs
+    the singular vectors have."""
+    feats = item_vectors(spark, sf).select("item_id", F.concat("vec", F.slice("vec", 1, 1)).alias("feat"))
+    width = vector_dim(feats, "feat")
+    out = materialize(factors.reduce_features(feats, width - 1), "reduced")
+    other = out.select((F.col("item_id") - 1).alias("item_id"), F.col("vec").alias("b"))
+    return out.join(other, "item_id").select("item_id", F.round(F.lit(1e4) * dot(F.col("vec"), F.col("b")), 5).alias("cosine"))
+
+
+@query("f09_train_factors_fit", sql("""SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, 16::BIGINT AS dim, 0::BIGINT AS missing, true AS observed_score_higher
+    FROM ratings1""", ["ratings1"]))
+def f09_fit(spark, sf):
+    """Shape and fit: every user and item has a factor, and observed pairs score higher than the mean of all pairs."""
+    r = ratings1(spark, sf)
+    u, v = (materialize(x, "factors") for x in factors.train_factors(cograph.aggregate_interactions(r), 16, 5, SEED))
+    pairs = r.select("user_id", "item_id").distinct()
+    scored_ = pairs.join(u.withColumnRenamed("vec", "a"), "user_id", "left").join(v.withColumnRenamed("vec", "b"), "item_id", "left")
+    seen = scored_.agg(F.avg(dot(F.col("a"), F.col("b"))).alias("s"), F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("bigint")).alias("missing"))
+    mean = lambda df, n: df.agg(*[F.avg(F.get("vec", F.lit(i))).alias(f"{n}{i}") for i in range(16)])
+    every = mean(u, "u").join(mean(v, "v")).select(sum(F.col(f"u{i}") * F.col(f"v{i}") for i in range(16)).alias("all"))  # one row each
+    sizes = u.agg(F.count(F.lit(1)).alias("users"), F.max(F.size("vec")).cast("bigint").alias("dim")).join(v.agg(F.count(F.lit(1)).alias("items")))
+    return sizes.join(seen).join(every).select("users", "items", "dim", "missing", (F.col("s") > F.col("all")).alias("observed_score_higher"))
+
+
 @query("f11_reduce_features")
 def f11(spark, sf):
     return long_form(factors.reduce_features(item_features(spark, sf), 8), "item_id")

@@ -140,3 +140,8 @@ def minmax(df: DataFrame, col: str, out: str | None = None, floor: float = 1e-8,
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
     span = (hi - lo) + F.lit(floor) if additive else F.greatest(hi - lo, F.lit(floor))
     return df.withColumn(out or f"{col}_norm", (F.col(col) - lo) / span)
+
+
+def just_below(threshold: float) -> float:
+    """The threshold less the last digits of interpolated values, so that values equal to it are kept together."""
+    return threshold - 1e-12 * max(1.0, abs(threshold))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weft.functions.lineage import cut
-from weft.functions.stats import global_rank, quantiles
+from weft.functions.stats import global_rank, just_below, quantiles
 from weft.operators.cograph import select_edges
 
 
@@ -178,7 +178,7 @@ def cluster_merge_mask(edges: DataFrame, p_score: float = 90.0, p_importance: fl
     """Older merge rule: edges high in both score and importance, then components of them."""
     s = quantiles(edges, "score", [p_score / 100.0])[0]
     i = quantiles(edges, "importance", [p_importance / 100.0])[0]
-    return edges.where((F.col("score") >= s - 1e-12) & (F.col("importance") >= i - 1e-12))
+    return edges.where((F.col("score") >= just_below(s)) & (F.col("importance") >= just_below(i)))
 
 
 def cluster_sizes(cluster_map: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weft.functions.lineage import cut, materialize
-from weft.functions.stats import global_rank, minmax, quantiles
+from weft.functions.stats import global_rank, just_below, minmax, quantiles
 from weft.functions.vectors import as_double, dot
 
 HOT_ITEM_DEGREE = 5_000  # users per item beyond which its pairs are spread over several tasks
@@ -212,7 +212,7 @@ def select_edges(edges: DataFrame, percentile: float | None = None, topk: int |
             return edges.orderBy(*order).limit(topk)
         return global_rank(edges, order).where(F.col("rank0") < topk).drop("rank0")
     threshold = quantiles(edges, col, [percentile / 100.0])[0]
-    return edges.where(F.col(col) >= F.lit(threshold - 1e-12))
+    return edges.where(F.col(col) >= F.lit(just_below(threshold)))
 
 
 def bipartite_edges(inter: DataFrame, offset: int, undirected: bool = True) -> DataFrame:

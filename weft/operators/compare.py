@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.functions.stats import quantiles
+from weft.functions.stats import just_below, quantiles
 from weft.functions.vectors import as_double, dot, l2_distance, norm
 from weft.operators.cluster import cluster_sizes, component_labels
 from weft.operators.cograph import co_occurrence
@@ -144,7 +144,7 @@ def removed_edges(edges: DataFrame, threshold: int) -> DataFrame:
     median = quantiles(edges, "score", [0.5])[0]
     return edges.where("not kept").select(
         F.col("u").alias("user_u"), F.col("v").alias("user_v"), F.col("score").alias("edge_weight"), F.col("common").alias("common_items"),
-        "deg_u", "deg_v", (F.col("score") < F.lit(median - 1e-12)).alias("is_weak"), (F.col("common") < threshold).alias("is_low_cointeraction"),
+        "deg_u", "deg_v", (F.col("score") < F.lit(just_below(median))).alias("is_weak"), (F.col("common") < threshold).alias("is_low_cointeraction"),
     )
 
 

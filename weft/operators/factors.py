@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import IDF, HashingTF
+import pandas as pd
+from pyspark.ml.feature import IDF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
@@ -58,17 +59,29 @@ def tokens(text_col: str = "text"):
     return F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def item_text_features(reviews: DataFrame, dims: int = 64, order_col: str = "doc_id", per_item: int = 50, chars: int = 400, vocabulary: int = 4096) -> DataFrame:
-    """(item_id, vec): the first ``per_item`` reviews of an item, each cut to ``chars``, as TF-IDF reduced by SVD."""
-    w = Window.partitionBy("item_id").orderBy(order_col)
-    first = reviews.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_item)
-    docs = (
-        first.groupBy("item_id")  # at most per_item pieces of bounded length
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", F.substring("text", 1, chars).alias("t")))).alias("ts"))
-        .select("item_id", F.array_join(F.col("ts.t"), " ").alias("text"))
-        .select("item_id", tokens().alias("words"))
-    )
-    tf = HashingTF(numFeatures=vocabulary, inputCol="words", outputCol="tf").transform(docs)
+def item_text_features(reviews: DataFrame, dims: int = 64, order_col: str = "doc_id", per_item: int | None = None, chars: int | None = None, vocabulary: int = 4096) -> DataFrame:
+    """(item_id, vec): the reviews of an item as TF-IDF reduced by SVD. ``per_item`` takes the first reviews only, ``chars``
+    the first characters of each; by default everything is read.
+
+    Terms are counted where the reviews lie: an item's texts are never put together, only its at most ``vocabulary`` counts."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    rows = reviews.select("item_id", order_col, text.alias("text"))
+    if per_item is not None:
+        w = Window.partitionBy("item_id").orderBy(order_col)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_item)
+    slots = rows.select("item_id", F.explode_outer(tokens()).alias("word")).select(
+        "item_id", F.when(F.col("word").isNotNull(), F.pmod(F.hash("word"), F.lit(vocabulary))).alias("slot"))
+    counts = slots.groupBy("item_id", "slot").agg(F.count("slot").alias("n"))
+    items = counts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"))
+
+    @F.pandas_udf("array<double>")
+    def dense(slot: pd.Series, n: pd.Series) -> pd.Series:
+        out = np.zeros((len(slot), vocabulary))
+        for row, (s, c) in enumerate(zip(slot, n, strict=True)):
+            out[row, s] = c
+        return pd.Series(list(out))
+
+    tf = items.select("item_id", array_to_vector(dense(F.map_keys("m"), F.map_values("m"))).alias("tf"))
     tfidf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf).select("item_id", "tfidf")
     v = _leading(tfidf.select(F.col("item_id").alias("index"), F.col("tfidf").alias("vector")), dims)
     return tfidf.select("item_id", times_matrix(v)(vector_to_array("tfidf")).alias("vec"))

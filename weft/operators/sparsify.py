@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.stats import minmax, quantiles
+from weft.functions.stats import just_below, minmax, quantiles
 from weft.operators.cluster import component_labels
 
 
@@ -70,7 +70,7 @@ def sparsify(edges: DataFrame, percentile: float = 50.0, topk: int | None = None
         marked = edges.join(chosen, ["u", "v"], "left").withColumn("_sel", F.coalesce("_sel", F.lit(False)))
     else:
         threshold = quantiles(edges, "importance", [percentile / 100.0])[0]
-        marked = edges.withColumn("_sel", F.col("importance") >= F.lit(threshold - 1e-12))
+        marked = edges.withColumn("_sel", F.col("importance") >= F.lit(just_below(threshold)))
     ends = marked.select("u", "v", "importance", "_sel").select(F.explode(F.array("u", "v")).alias("node"), "importance", "_sel")
     lost = (  # one aggregate finds uncovered nodes and their best edge
         ends.groupBy("node").agg(F.max("importance").alias("best"), F.bool_or("_sel").alias("covered"))
