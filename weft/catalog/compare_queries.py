@@ -22,10 +22,24 @@ query = section.query
 K = 10
 
 
-def recs(spark, sf, part: float = 2.0, k: int = K):
-    """Top items of the leave-one-out test users; ``part`` picks the item vectors of either run."""
+def run_inputs(spark, sf):
+    """(user vectors, seen, truth) of the leave-one-out test users, written once for both runs."""
     seen, truth = split(spark, sf)
-    return recommend.recommend(user_vectors(spark, sf), item_vectors(spark, sf, part), seen, truth, k)
+    truth = materialize(truth, "truth")
+    chosen = truth.select("user_id").distinct()
+    mine = lambda df, name: materialize(df.join(chosen, "user_id", "left_semi"), name)
+    return mine(user_vectors(spark, sf), "users"), mine(seen, "seen"), truth
+
+
+def recs(spark, sf, part: float = 2.0, k: int = K, inputs=None):
+    """Top items of the leave-one-out test users; ``part`` picks the item vectors of either run."""
+    vectors, seen, truth = inputs or run_inputs(spark, sf)
+    return recommend.recommend(vectors, item_vectors(spark, sf, part), seen, truth, k)
+
+
+def both_recs(spark, sf):
+    inputs = run_inputs(spark, sf)
+    return recs(spark, sf, inputs=inputs), recs(spark, sf, 3.0, inputs=inputs)
 
 
 def _rec_ctes(name: str, ivec: str, k: int = K) -> dict[str, str]:
@@ -50,7 +64,8 @@ def h01(spark, sf):
     FROM ra JOIN (SELECT user_id, item_id AS gid, CAST(item_id AS VARCHAR) AS gt FROM truth) USING (user_id), (SELECT unnest([5, 10]) AS k) WHERE rank <= k GROUP BY 1, 2""", _NEEDS, _A))
 def h02(spark, sf):
     """One true item per user here, so the ideal gain is 1."""
-    log = recommend.recommendation_log(recs(spark, sf), split(spark, sf)[1], [5, 10])
+    inputs = run_inputs(spark, sf)
+    log = recommend.recommendation_log(recs(spark, sf, inputs=inputs), inputs[2], [5, 10])
     return log.withColumn("ndcg", rnd("ndcg"))
 
 
@@ -65,13 +80,13 @@ _OVER = {**_A, **_B,
 
 @query("h03_overlap_at_k", sql("SELECT *, 10::BIGINT AS k, overlap_count / 10 AS overlap_ratio FROM ov", _NEEDS, _OVER))
 def h03(spark, sf):
-    return compare.overlap(recs(spark, sf), recs(spark, sf, 3.0), K)
+    return compare.overlap(*both_recs(spark, sf), K)
 
 
 @query("h04_overlap_stats", sql("""SELECT 10::BIGINT AS k, round(avg(overlap_count / 10), 6) AS mean_overlap, round(stddev_pop(overlap_count / 10), 6) AS std_overlap, round(avg(num_new), 6) AS mean_new_items,
     round(avg(num_removed), 6) AS mean_removed_items, round(avg(num_shifts), 6) AS mean_rank_shifts, count(*) AS n_users FROM ov""", _NEEDS, _OVER))
 def h04(spark, sf):
-    s = compare.overlap_stats(compare.overlap(recs(spark, sf), recs(spark, sf, 3.0), K))
+    s = compare.overlap_stats(compare.overlap(*both_recs(spark, sf), K))
     return s.select("k", "n_users", *[rnd(c).alias(c) for c in s.columns if c not in ("k", "n_users")])
 
 
@@ -389,7 +404,7 @@ def h24(spark, sf):
     JOIN (SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ';' ORDER BY rank) AS l FROM rb GROUP BY 1) b USING (user_id)
     WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM ra SEMI JOIN rb USING (user_id)) ORDER BY user_id LIMIT 20) GROUP BY user_id""", _NEEDS, {**_A, **_B}))
 def h25(spark, sf):
-    return compare.sample_comparison(recs(spark, sf), recs(spark, sf, 3.0), 20)
+    return compare.sample_comparison(*both_recs(spark, sf), 20)
 
 
 @query("h25_sample_explanations", sql("""SELECT xp.*, coalesce(path_length, 0)::BIGINT AS path_length, 'baseline' AS run_type FROM xp LEFT JOIN pth USING (user_id, item_id)

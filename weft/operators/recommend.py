@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weft.functions.lineage import cut
 from weft.functions.vectors import as_double, norm, scale
 
 BLOCK = 32_768  # vectors per side of a tile
@@ -90,7 +91,7 @@ def recommend(uvec: DataFrame, ivec: DataFrame, seen: DataFrame, users: DataFram
     """Top ``k`` items for each of ``users``, items seen in training removed."""
     chosen = users.select("user_id").distinct()
     return top_items(
-        uvec.join(chosen, "user_id", "left_semi"), ivec,
+        cut(uvec.select("user_id", "vec").join(chosen, "user_id", "left_semi")), cut(ivec.select("item_id", "vec")),
         seen.select("user_id", "item_id").join(chosen, "user_id", "left_semi"), k,
     )
 
