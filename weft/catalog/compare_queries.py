@@ -8,7 +8,7 @@ from weft.catalog.eval_queries import split
 from weft.catalog.fixtures import (
     SEED, TAU, big, cte, item_vectors, ratings1, rnd, scored, sql, user_vectors, users,
 )
-from weft.catalog.graph_queries import kept_ctes, kept_edges
+from weft.catalog.graph_queries import kept_ctes, kept_edges, matching_ctes
 from weft.catalog.registry import Section
 from weft.functions.lineage import materialize
 from weft.operators import cluster, cograph, compare, evaluate, explain, prep, recommend, sparsify
@@ -483,6 +483,23 @@ def e11(spark, sf):
     return s.select(*[rnd(c).alias(c) if c in _RATIOS else c for c in s.columns])
 
 
+_LOWER_FIRST = {"hc": _STATS["hc"], **matching_ctes("hc", 1, "lower_first"), **_STATS, "mp": "SELECT u, v FROM m0"}
+
+
+@query("e11_precondition_stats_lower_first", sql(_STAT_ROW.format(mode="cosine", shared=2), _STAT_NEEDS, _LOWER_FIRST))
+def e11_lower_first(spark, sf):
+    s = prepare(ratings1(spark, sf), Config(tau=TAU, mode="cosine", min_shared=2, prefer="lower_first")).stats
+    return s.select(*[rnd(c).alias(c) if c in _RATIOS else c for c in s.columns])
+
+
+@query("e11_precondition_stats_hot", _stat_sql().replace("before AS uu_edges_before_shared", "true AS before_unknown"))
+def e11_hot(spark, sf):
+    """Items of more than twenty users count as hot: same edges; the pairs before the filter are not known then."""
+    s = prepare(ratings1(spark, sf), Config(tau=TAU, mode="cosine", min_shared=2, hot_degree=20)).stats
+    s = s.withColumn("before_unknown", F.col("uu_edges_before_shared").isNull()).drop("uu_edges_before_shared")
+    return s.select(*[rnd(c).alias(c) if c in _RATIOS else c for c in s.columns])
+
+
 @query("e11_precondition_edges", sql("SELECT u, v, round(score, 6) AS score, round(er, 9) AS er, round(importance, 6) AS importance, kept FROM kept_edges", ["cos_edges"], {k: v for k, v in _STATS.items() if k not in ("c", "mp")}))
 def e11_edges(spark, sf):
     e = prepare(ratings1(spark, sf), Config(tau=TAU, mode="cosine", min_shared=2)).edges

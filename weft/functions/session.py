@@ -15,6 +15,7 @@ def local_session(cpus: str = "*", partitions: int = 8, app: str = "weft") -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "10g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # state of earlier loop rounds goes
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

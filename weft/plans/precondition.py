@@ -18,6 +18,7 @@ class Config:
     mode: str = "cosine"
     min_shared: int = 1
     max_item_degree: int = 0
+    hot_degree: int = cograph.HOT_ITEM_DEGREE  # items with more users are left out of the pair join and counted back
     max_neighbors: int = 0  # edges per lower endpoint; 0: all
     score_percentile: float = 70.0
     score_topk: int | None = None
@@ -43,7 +44,7 @@ def scored_edges(r: DataFrame, cfg: Config) -> tuple[DataFrame, int | None]:
     """Materialised scored edges and the number of pairs before the min_shared filter (None where hot items stayed out of
     the join, so that it is not known)."""
     seen_pairs = Observation("pairs_before_shared")
-    pairs = cograph.co_occurrence(positives(r, cfg.tau), cfg.min_shared, cfg.max_item_degree, observe=seen_pairs)
+    pairs = cograph.co_occurrence(positives(r, cfg.tau), cfg.min_shared, cfg.max_item_degree, hot_degree=cfg.hot_degree, observe=seen_pairs)
     edges = materialize(cograph.score_edges(cograph.cap_neighbors(pairs, cfg.max_neighbors), cfg.mode), "edges")
     return edges, seen_pairs.get["pairs"]
 

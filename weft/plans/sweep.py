@@ -25,7 +25,7 @@ def run_sweep(r: DataFrame, grid: list[tuple[str, float, int]] | None = None, cf
         part = materialize(top_fraction_users(r, fraction), "ratings")
         mine = [(m, s) for m, f, s in grid if f == fraction]
         seen = Observation("pairs_before_shared")
-        pairs = materialize(co_occurrence(positives(part, cfg.tau), min(s for _, s in mine), cfg.max_item_degree, observe=seen), "pairs")
+        pairs = materialize(co_occurrence(positives(part, cfg.tau), min(s for _, s in mine), cfg.max_item_degree, hot_degree=cfg.hot_degree, observe=seen), "pairs")
         before = seen.get["pairs"]
         for mode, shared in mine:
             edges = score_edges(cap_neighbors(pairs.where(F.col("common") >= shared), cfg.max_neighbors), mode)
