@@ -124,7 +124,7 @@ def _emit(frames, buckets: int, percent: int):
         if parts:
             yield from blocks(parts)
         classes = np.array(classes, np.int64)
-        yield frame(_EMIT, len(n), bucket=classes % buckets, _d=f["_d"], _h=f["_h"], known=f["known"], n=np.array(n, np.int64), cls=classes,
+        yield frame(_EMIT, len(n), bucket=np.arange(len(n)) % buckets, _d=f["_d"], _h=f["_h"], known=f["known"], n=np.array(n, np.int64), cls=classes,
                      bits=pd.Series(bits, dtype=object))
 
 
