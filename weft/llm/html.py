@@ -222,7 +222,9 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
 
 
 def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 10) -> dict[str, np.ndarray]:
-    sample = pages.where("html is not null").select("page_id", "html").orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "page_id").limit(limit)
+    some = pages.where("html is not null and page_id is not null").select("page_id", "html")
+    keys = some.select("page_id").distinct().orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(limit)
+    sample = some.join(F.broadcast(keys), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id")
     rng = np.random.default_rng(seed)
     parsed = [b for r in sample.collect() if (b := blocks(r["html"][:200_000])[:200])]
     p = lstm.init(rng, INPUTS, HIDDEN, 1)
