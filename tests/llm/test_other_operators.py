@@ -262,3 +262,10 @@ def test_main_text(spark):
     assert got[100]["text"] == got[101]["text"] == got[102]["text"] == "" and got[100]["n_chars"] == 0
     assert got[103]["text"] == "Title & more\n\nFirst part\n\nSecond part, with words."
     assert html.main_text(pages.where("false"), html.train(pages.where("false"))).count() == 0
+
+
+def test_icons_do_not_swallow_the_page():
+    for icon in ("<svg-icon name=x></svg-icon>", "<title-bar>Menu</title-bar>", "<svg class=i/>", "<SVG/>", '<svg aria-label="a > b" />', "<svg viewBox='0 0 1 1'><title>no</title><path d=x/></svg>"):
+        got = [b[1] for b in html.blocks(f"<nav>{icon}</nav><article><p>One two.</p><p>Three {icon} four.</p></article>")]
+        assert "One two." in got and got[-1].endswith("four.") and "no" not in " ".join(got).split(), icon
+    assert [b[1] for b in html.blocks("<script/>no</script><p>Yes.</p>")] == ["Yes."]

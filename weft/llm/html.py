@@ -29,7 +29,8 @@ from weft.llm import lstm
 
 MAX_PAGES = 240
 PATH_DIM, WORD_DIM, HIDDEN = 130, 16, 20
-# Elements that do not break a block, elements without an end tag, elements whose content is no text.
+# Elements that do not break a block, elements without an end tag, elements whose content is no text (a svg that
+# closes itself has none).
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = "script|style|template|noscript|title|textarea|svg|iframe|object"
@@ -39,7 +40,7 @@ BOILERPLATE = frozenset("""nav menu menubar navbar navigation breadcrumb breadcr
     subscribe signup login form button select option comment comments comment-list reply discussion disqus social share sharing pagination pager toolbar dialog""".split())
 CONTENT = frozenset("article main content post entry story body-text articlebody post-content entry-content text".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?:(?<=svg)(?>\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>|[^>]*>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
