@@ -269,3 +269,43 @@ def test_icons_do_not_swallow_the_page():
         got = [b[1] for b in html.blocks(f"<nav>{icon}</nav><article><p>One two.</p><p>Three {icon} four.</p></article>")]
         assert "One two." in got and got[-1].endswith("four.") and "no" not in " ".join(got).split(), icon
     assert [b[1] for b in html.blocks("<script/>no</script><p>Yes.</p>")] == ["Yes."]
+
+
+def test_every_word_of_a_block_is_read():
+    path, n = frozenset({"<html", "<div"}), 40
+    base = [f"w{i}" for i in range(n)]
+    plain = html.features([(path, " ".join(base), 0)], {})
+    for i in range(n):
+        changed = html.features([(path, " ".join(base[:i] + [f"v{i}", f"u{i}"] + base[i + 2 :]), 0)], {})
+        words = slice(html.PATH_DIM, html.PATH_DIM + html.WORD_DIM)
+        assert not np.array_equal(plain[:, words], changed[:, words]), i
+    want = np.zeros(html.WORD_DIM)
+    for w in base:
+        want += html._slots([w], html.WORD_DIM)
+    assert np.allclose(html.word_vector(" ".join(base)), want / np.sqrt(n), atol=1e-6)
+    html.word_vector(" ".join(f"x{i}" for i in range(60_000)) + " " + "y" * 10_000)
+    assert len(html._WORDS) <= 50_001 and max(map(len, html._WORDS)) <= 64
+
+
+def test_labeller_learns_a_later_word():
+    """Blocks that differ in a word in their middle alone are told apart."""
+    rng = np.random.default_rng(3)
+    path, words = frozenset({"<html", "<body", "<div"}), [f"w{i}" for i in range(200)]
+
+    def page():
+        say = lambda k: " ".join(rng.choice(words, k))
+        kinds = rng.random(6) < 0.5
+        return [(path, f"{say(6)} {'voucher' if k else 'chapter'} {say(6)}", 0) for k in kinds], [float(not k) for k in kinds]
+
+    from weft.llm import lstm
+
+    p = lstm.init(rng, html.INPUTS, html.HIDDEN, 1)
+    adam = lstm.Adam(p)
+    for _ in range(150):
+        data = [page() for _ in range(16)]
+        x, mask = lstm.pad([html.features(b, {}) for b, _ in data])
+        y = np.array([t for _, t in data], np.float32)[:, :, None]
+        adam.step(lstm.gradients(p, x, mask, lambda z, y=y: (0.0, ((1 / (1 + np.exp(-z)) - y) / y.size * 8).astype(np.float32), {}))[1])
+    data = [page() for _ in range(100)]
+    right = np.concatenate([kept == np.array(t, bool) for kept, (_, t) in zip(html.label([b for b, _ in data], p, {}), data, strict=True)])
+    assert right.mean() > 0.8

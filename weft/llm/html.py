@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weft.llm import lstm
 
 MAX_PAGES = 240
-PATH_DIM, WORD_DIM, HIDDEN = 130, 16, 20
+PATH_DIM, WORD_DIM, HIDDEN = 130, 64, 20
 # Elements that do not break a block, elements without an end tag, elements whose content is no text (a svg that
 # closes itself has none).
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -134,19 +134,30 @@ def _slots(names, dim: int) -> np.ndarray:
 
 
 class _Slots(dict):
-    def __missing__(self, word: str) -> tuple[int, float]:
+    """word -> its place among 2 * WORD_DIM, the upper half for words that count down; remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
         if len(self) > 50_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        slot = self[word] = (h % WORD_DIM, 1.0 if h >> 63 else -1.0)
+        slot = h % WORD_DIM + (0 if h >> 63 else WORD_DIM)
+        if len(word) <= 64:
+            self[word] = slot
         return slot
 
 
 _WORDS = _Slots()
 
 
+def word_vector(text: str) -> np.ndarray:
+    """Every word of a block, hashed; divided by the root of their count, so that long and short blocks have vectors of like size."""
+    slots = list(map(_WORDS.__getitem__, text.lower().split(" ")))
+    counts = np.bincount(slots, minlength=2 * WORD_DIM)
+    return ((counts[:WORD_DIM] - counts[WORD_DIM:]) / np.sqrt(len(slots))).astype(np.float32)
+
+
 def features(page: list[Block], paths: dict) -> np.ndarray:
-    """(blocks, INPUTS): hashed path with the counts of names of known meaning, hashed words (the first two and the last), measures of length, stops and links."""
+    """(blocks, INPUTS): hashed path with the counts of names of known meaning, all words hashed, measures of length, stops and links."""
     x = np.zeros((len(page), INPUTS), np.float32)
     measures = []
     for i, (path, text, linked) in enumerate(page):
@@ -160,10 +171,7 @@ def features(page: list[Block], paths: dict) -> np.ndarray:
         row = x[i]
         row[:PATH_DIM] = v
         n = text.count(" ") + 1
-        head = text[:80].lower().split(" ", 2)
-        for w in (*head[:2], text[-20:].lower().rsplit(" ", 1)[-1]):
-            slot, sign = _WORDS[w]
-            row[PATH_DIM + slot] += 0.25 * sign
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = word_vector(text)
         measures.append((len(text), n, text.count(".") + text.count(","), text[-1] in ".!?", linked))
     m = np.array(measures, np.float32)
     x[:, PATH_DIM + WORD_DIM :] = np.c_[np.log1p(m[:, 0]) / 5, np.log1p(m[:, 1]) / 4, m[:, 2] / (m[:, 1] + 1), m[:, 3], np.ones(len(m)), m[:, 4] / (m[:, 0] + 1)]
