@@ -282,8 +282,8 @@ def test_every_word_of_a_block_is_read():
     want = np.zeros(html.WORD_DIM)
     for w in base:
         want += html._slots([w], html.WORD_DIM)
-    assert np.allclose(html.word_vector(" ".join(base)), want / np.sqrt(n), atol=1e-6)
-    html.word_vector(" ".join(f"x{i}" for i in range(60_000)) + " " + "y" * 10_000)
+    assert np.allclose(plain[0, words], want / np.sqrt(n), atol=1e-6)
+    html.read(" ".join(f"x{i}" for i in range(60_000)) + " " + "y" * 10_000)
     assert len(html._WORDS) <= 50_001 and max(map(len, html._WORDS)) <= 64
 
 
@@ -309,3 +309,18 @@ def test_labeller_learns_a_later_word():
     data = [page() for _ in range(100)]
     right = np.concatenate([kept == np.array(t, bool) for kept, (_, t) in zip(html.label([b for b, _ in data], p, {}), data, strict=True)])
     assert right.mean() > 0.8
+
+
+def test_training_blocks_come_from_the_whole_page():
+    page = "".join(f"<p>{'long ' * 100}block{i}</p>" for i in range(1_000)) + "<footer>The end.</footer>"
+    chosen, spare = html.training_blocks("7", page)
+    at = [int(t.split("block")[1]) for _, t, _ in chosen if "block" in t]
+    assert len(page) > 400_000 and len(chosen) in range(191, 201) and min(at) < 100 and max(at) >= 900 and at == sorted(at)
+    assert sum(400 <= i < 600 for i in at) > 10 and html.training_blocks("7", page) == (chosen, spare) != html.training_blocks("8", page)
+    assert len(spare) == html.SPARES and max(map(len, spare)) <= html.MAX_SPARE
+    ends = sum(any(t == "The end." for _, t, _ in html.training_blocks(str(k), page)[0]) for k in range(40))
+    assert 1 <= ends <= 30 and html.training_blocks("1", "") == ([], [])
+    short = html.blocks(page)[:150]
+    assert html.training_blocks("7", "".join(f"<p>{t}</p>" for _, t, _ in short))[0] == [(frozenset({"<p"}), t, n) for _, t, n in short]
+    start = html._head(short[0][1][: html.MAX_SPARE], html.read(short[0][1]))
+    assert np.array_equal(html.features([(short[0][0], start, 0)], {}), html.features(short[:1], {}))

@@ -4,9 +4,12 @@ A page becomes its sequence of leaf blocks: text between block-level tags, with
 elements. A bidirectional LSTM in numpy reads for each block a hashed vector of that path, a hashed vector of its words
 and a few measures, and labels every block in the light of the whole page.
 
-The model is trained on at most ``MAX_PAGES`` pages, chosen by a hash of the id. Their blocks are labelled weakly: by elements
-whose meaning HTML or common class names fix (``BOILERPLATE``, ``CONTENT``). Since the pages of one corpus use few of them,
-each training page is also varied: blocks of other kinds are put before, after and between its own, and the wrappers of the
+The model is trained on at most ``MAX_PAGES`` pages, chosen by a hash of the id. The tasks parse them whole, and of a page with
+more than ``MAX_BLOCKS`` blocks, runs of ``RUN`` neighbouring ones, ``MAX_BLOCKS`` in all, are drawn by hash over the whole page;
+``SPARES`` blocks of each page, drawn likewise, give the texts of added blocks. The driver gets the path of each of these blocks,
+what ``read`` finds in its whole text, and the first ``MAX_SPARE`` characters for texts that are varied. Blocks are labelled weakly:
+by elements whose meaning HTML or common class names fix (``BOILERPLATE``, ``CONTENT``). Since the pages of one corpus use few of
+them, each training page is also varied: blocks of other kinds are put before, after and between its own, and the wrappers of the
 article are renamed. Weights reach the tasks inside the function that Spark ships.
 
 Defined cases: null and empty html give an empty text; a page without any block that looks like content gives an empty
@@ -17,6 +20,7 @@ columns do not matter.
 from __future__ import annotations
 
 import html
+import json
 import re
 
 import numpy as np
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from weft.llm import lstm
 
-MAX_PAGES = 240
+MAX_PAGES, MAX_BLOCKS = 240, 200
+RUN, SPARES, MAX_SPARE = 10, 8, 400
 PATH_DIM, WORD_DIM, HIDDEN = 130, 64, 20
 # Elements that do not break a block, elements without an end tag, elements whose content is no text (a svg that
 # closes itself has none).
@@ -149,11 +154,18 @@ class _Slots(dict):
 _WORDS = _Slots()
 
 
-def word_vector(text: str) -> np.ndarray:
-    """Every word of a block, hashed; divided by the root of their count, so that long and short blocks have vectors of like size."""
+def read(text: str) -> tuple[list[int], int, int, int, bool]:
+    """What the labeller reads of a block's text: the signed counts of all its words in hashed places, its length, its number of
+    words, its stops, and whether one ends it."""
     slots = list(map(_WORDS.__getitem__, text.lower().split(" ")))
     counts = np.bincount(slots, minlength=2 * WORD_DIM)
-    return ((counts[:WORD_DIM] - counts[WORD_DIM:]) / np.sqrt(len(slots))).astype(np.float32)
+    return (counts[:WORD_DIM] - counts[WORD_DIM:]).tolist(), len(text), len(slots), text.count(".") + text.count(","), text[-1] in ".!?"
+
+
+class Head(str):
+    """The start of a block's text, with what was read of the whole."""
+
+    whole: tuple
 
 
 def features(page: list[Block], paths: dict) -> np.ndarray:
@@ -170,9 +182,9 @@ def features(page: list[Block], paths: dict) -> np.ndarray:
             v = paths[path] = np.r_[_slots(path, PATH_DIM - 2) / 2, known].astype(np.float32)
         row = x[i]
         row[:PATH_DIM] = v
-        n = text.count(" ") + 1
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = word_vector(text)
-        measures.append((len(text), n, text.count(".") + text.count(","), text[-1] in ".!?", linked))
+        words, *more = text.whole if isinstance(text, Head) else read(text)
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.array(words, np.float32) / np.sqrt(more[1])  # long and short blocks alike in size
+        measures.append((*more, linked))
     m = np.array(measures, np.float32)
     x[:, PATH_DIM + WORD_DIM :] = np.c_[np.log1p(m[:, 0]) / 5, np.log1p(m[:, 1]) / 4, m[:, 2] / (m[:, 1] + 1), m[:, 3], np.ones(len(m)), m[:, 4] / (m[:, 0] + 1)]
     return x
@@ -230,16 +242,48 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
     return [b for b, _ in out], [y for _, y in out]
 
 
+def _head(start: str, whole: list) -> Head:
+    out = Head(start)
+    out.whole = tuple(whole)
+    return out
+
+
+def _drawn(page_id: str, n: int, limit: int) -> list[int]:
+    """``limit`` of the places 0..n-1 in order, drawn over all of them by a hash of the page and the place."""
+    if n <= limit:
+        return list(range(n))
+    return sorted(sorted(range(n), key=lambda i: (xxhash.xxh3_64_intdigest(f"{page_id}:{i}"), i))[:limit])
+
+
+def training_blocks(page_id: str, source: str) -> tuple[list[Block], list[str]]:
+    """Training blocks of a page, as runs of ``RUN`` neighbours drawn over the whole page, and the starts of ``SPARES`` of its
+    blocks, drawn likewise, as texts of added blocks."""
+    page = blocks(source)
+    runs = _drawn(page_id, -(-len(page) // RUN), MAX_BLOCKS // RUN)
+    chosen = [b for k in runs for b in page[k * RUN : (k + 1) * RUN]]
+    return chosen, [page[i][1][:MAX_SPARE] for i in _drawn(f"{page_id}:spare", len(page), SPARES)]
+
+
 def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 10) -> dict[str, np.ndarray]:
+    def cut(frames):
+        for f in frames:
+            rows = []
+            for page_id, source in zip(f["page_id"], f["html"], strict=True):
+                chosen, spare = training_blocks(str(page_id), source)
+                sent = [[sorted(path), text[:MAX_SPARE], read(text), linked] for path, text, linked in chosen]
+                rows.append((str(page_id), json.dumps(sent), json.dumps(spare)))
+            yield pd.DataFrame(rows, columns=["page_id", "blocks", "spare"])
+
     some = pages.where("html is not null and page_id is not null").select("page_id", "html")
     keys = some.select("page_id").distinct().orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(limit)
-    sample = some.join(F.broadcast(keys), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id")
+    sample = some.join(F.broadcast(keys), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     rng = np.random.default_rng(seed)
-    parsed = [b for r in sample.collect() if (b := blocks(r["html"][:200_000])[:200])]
+    rows = [r for r in sample.mapInPandas(cut, "page_id string, blocks string, spare string").orderBy("page_id").collect() if r["blocks"] != "[]"]
+    parsed = [[(frozenset(path), _head(start, whole), linked) for path, start, whole, linked in json.loads(r["blocks"])] for r in rows]
     p = lstm.init(rng, INPUTS, HIDDEN, 1)
     if not parsed:
         return p
-    spare = [t[: int(rng.integers(8, 400))] for page in parsed for _, t, _ in page[:8]]
+    spare = [t[: int(rng.integers(8, MAX_SPARE))] for r in rows for t in json.loads(r["spare"])]
     adam, paths = lstm.Adam(p), {}
     for epoch in range(epochs):
         adam.rate = 1e-2 * (0.75**epoch)
