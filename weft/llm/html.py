@@ -271,14 +271,14 @@ def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int =
             for page_id, source in zip(f["page_id"], f["html"], strict=True):
                 chosen, spare = training_blocks(str(page_id), source)
                 sent = [[sorted(path), text[:MAX_SPARE], read(text), linked] for path, text, linked in chosen]
-                rows.append((str(page_id), json.dumps(sent), json.dumps(spare)))
+                rows.append((page_id, json.dumps(sent), json.dumps(spare)))
             yield pd.DataFrame(rows, columns=["page_id", "blocks", "spare"])
 
     some = pages.where("html is not null and page_id is not null").select("page_id", "html")
     keys = some.select("page_id").distinct().orderBy(F.md5(F.col("page_id").cast("string")), "page_id").limit(limit)
     sample = some.join(F.broadcast(keys), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     rng = np.random.default_rng(seed)
-    rows = [r for r in sample.mapInPandas(cut, "page_id string, blocks string, spare string").orderBy("page_id").collect() if r["blocks"] != "[]"]
+    rows = [r for r in sample.mapInPandas(cut, f"page_id {some.schema['page_id'].dataType.simpleString()}, blocks string, spare string").orderBy("page_id").collect() if r["blocks"] != "[]"]
     parsed = [[(frozenset(path), _head(start, whole), linked) for path, start, whole, linked in json.loads(r["blocks"])] for r in rows]
     p = lstm.init(rng, INPUTS, HIDDEN, 1)
     if not parsed:
