@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -296,16 +297,15 @@ def _varied(kind: str, match: str, rng: np.random.Generator) -> str:
     return match
 
 
-def training_windows(texts: list[str], seed: int = 11, limit: int = MAX_WINDOWS) -> list[tuple[str, list[Span]]]:
-    """(window, spans): neighbourhoods of rule spans with varied formats, and of other digits."""
-    rng = np.random.default_rng(seed)
+def training_windows(texts: list[str], seed: int = 11) -> list[tuple[str, list[Span]]]:
+    """(window, spans): neighbourhoods of rule spans with varied formats, and of other digits. The draws of a text depend on
+    the text alone, so neither the order of the texts nor their batches matter."""
     out: list[tuple[str, list[Span]]] = []
     other = ("2024-01-31", "12:30", "3,456,789.50", "v2.10.3", "1998-2005", "No. 12345678", "0x7f3a99b1", "1/2/1999", "000-12", "ISBN 9783161484100")
     for text in texts:
+        rng = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text)])
         base = rule_spans(text)
         for k, a, b in base:
-            if len(out) >= limit:
-                return out
             lo, hi = max(0, a - int(rng.integers(4, 40))), min(len(text), b + int(rng.integers(4, 40)))
             if any(s < hi and e > lo and (s, e) != (a, b) for _, s, e in base):
                 continue
@@ -319,8 +319,8 @@ def training_windows(texts: list[str], seed: int = 11, limit: int = MAX_WINDOWS)
             out.append((piece + text[b:hi], spans))
             if rng.random() < 0.6:
                 out.append((text[lo:a] + str(rng.choice(other)) + text[b:hi], []))
-        for a, b in stretches(text)[:4]:
-            if not any(s < b and e > a for _, s, e in base) and rng.random() < 0.5 and len(out) < limit:
+        for a, b in stretches(text):
+            if not any(s < b and e > a for _, s, e in base) and rng.random() < 0.25:
                 out.append((text[a : min(b, a + SPAN)], []))
     return out
 
@@ -353,6 +353,8 @@ def train(docs: DataFrame, limit: int = MAX_DOCS) -> dict | None:
     def cut(frames):
         for f in frames:
             data = training_windows([t or "" for t in f["text"]])
+            if not data:  # a column without values has no type that Arrow could take for a string
+                continue
             yield pd.DataFrame({"piece": [t for t, _ in data], "spans": [as_text(s) for _, s in data]})
 
     chosen = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).where(F.col("doc_id").isNotNull())

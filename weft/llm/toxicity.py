@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.lineage import materialize
+
 MAX_LABELLED = 10_000
 MAX_STEMS = 2_000
 MAX_EXCEPTIONS = 1_000
@@ -92,7 +94,16 @@ def hits(folded: str, model: str) -> list[tuple[int, int, float]]:
             safe.append((start, end))
         elif start not in best or best[start][0] < end:
             best[start] = (end, w)
-    return [(s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in safe)]
+    # a hit is safe if a phrase that begins no later ends no earlier: the furthest end up to each place tells
+    safe.sort()
+    furthest, out, i = 0, [], 0
+    for s, (e, w) in sorted(best.items()):
+        while i < len(safe) and safe[i][0] <= s:
+            furthest = max(furthest, safe[i][1])
+            i += 1
+        if furthest < e:
+            out.append((s, e, w))
+    return out
 
 
 def measures(text: str | None, model: str) -> tuple[float, float]:
@@ -126,6 +137,8 @@ def _counted(sample: DataFrame, keys) -> DataFrame:
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
                 by[int(toxic != 0)].update(keys(fold(text or "")))
             names = [*(by[0].keys() | by[1].keys())]
+            if not names:  # a column without values has no type that Arrow could take for a string
+                continue
             yield pd.DataFrame({"key": names, "tox": [by[1][k] for k in names], "non": [by[0][k] for k in names]})
 
     part = sample.mapInPandas(partial, "key string, tox bigint, non bigint")
@@ -144,7 +157,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> str:
     """The model as JSON: stems with weights, exception phrases, logistic."""
-    sample = _sample(docs, labels, limit)
+    sample = materialize(_sample(docs, labels, limit), "labelled")  # read four times below
     totals = {r["t"]: r["n"] for r in sample.groupBy((F.col("toxic") != 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_tox, n_non = totals.get(True, 0), totals.get(False, 0)
     model: dict = {"stems": {}, "exceptions": [], "logistic": [math.log((n_tox + 1) / (n_non + 10)), 0.0, 0.0]}
