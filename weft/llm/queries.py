@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm import decontam, fixity, html, jaccard, packing, pii, quality, sharding, substrings, toxicity
+from weft.llm import decontam, fixity, flatfile, html, jaccard, packing, pii, quality, sharding, substrings, toxicity
 from weft.llm.oracles import ORACLE
 from weft.llm.text import table
 
@@ -80,3 +80,8 @@ def op9_block_labeller(spark: SparkSession, sf: str) -> DataFrame:
 def op2_bilstm_crf(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return pii.report(docs, pii.train(docs))
+
+
+@query
+def op11_flat_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return flatfile.digest(table(spark, sf, "documents"))
