@@ -1,5 +1,8 @@
 """Flat token files, the prefix trie of conversations and the repair of their structure."""
 
+import collections
+import hashlib
+import math
 import os
 import random
 import zlib
@@ -7,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from weft.llm import flatfile
+from weft.llm import flatfile, trie
 
 TEXTS = [
     "", " ", "a", " a", "a ", "a  b", "  a b", "a\n\nb c", "a \n b", "end <|endoftext|> next", "x\x00y z", "é 中文  ü x", "\u0085 q r s",
@@ -34,8 +37,9 @@ def test_encoder_equals_whole_texts(tokenizer, monkeypatch):
     mixed = ["".join(rng.choice(["a", "b ", " ", "\n", "1", "é", ".", " the", " ", "'s"]) for _ in range(rng.randrange(40))) for _ in range(400)]
     monkeypatch.setattr(flatfile, "CACHE_ENTRIES", 60)  # the table is emptied now and then, some texts do not fit
     enc = flatfile.Encoder(flatfile.encoder().vocabulary)
-    for text in TEXTS + mixed:
-        assert np.frombuffer(enc.encode(text), f"<u{enc.width}").tolist() == whole(tokenizer, text), repr(text)
+    monkeypatch.setattr(flatfile, "GROUP_CHARS", 200)
+    for text, ids in zip(TEXTS + mixed, enc.encode(TEXTS + mixed), strict=True):
+        assert np.frombuffer(ids, f"<u{enc.width}").tolist() == whole(tokenizer, text), repr(text)
 
 
 def brute_stream(tokenizer, rows):
@@ -73,3 +77,68 @@ def test_a_repeated_attempt_replaces_its_part(tmp_path):
         assert flatfile.write_part(str(tmp_path), 3, [(None, b"\1\0"), (5, b"\2\0\3\0")], 2) == (2, 1, 3)
     assert [(k, s, ids.tolist()) for k, s, ids in flatfile.documents_of(str(tmp_path), 3, 2, 1, 100)] == [(None, 100, [1]), (5, 101, [2, 3])]
     assert isinstance(flatfile.open_part(str(tmp_path), 3, 2)[0], np.memmap) and len(os.listdir(tmp_path)) == 3
+
+
+# --- prefix trie ---
+
+CONVERSATION = "conv_id bigint, turn bigint, role string, text string, shard int, depth string"
+
+
+def dialogues(seed=4):
+    """Conversations with shared beginnings, equal copies, a long one, and every edge case."""
+    rng = random.Random(seed)
+    rows = []
+    for c in [*range(-120, -90), *range(0, 260), 1203]:
+        n = rng.choice([0, 1, 2, 3, 5, 8, 9])
+        for t in range(n):
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "éé", "long text. "]) if t else "hello"))
+    for c in range(300, 420):  # copies of one conversation
+        rows += [(c, t, "user", f"copy {t}") for t in range(37)]
+    rows += [(500, t, "user", f"copy {t}") for t in range(70)]
+    rows += [(600, None, None, None), (600, 3, "user", None), (600, 3, "user", None), (600, 3, "a", "b"), (600, 1, None, "x"), (None, 0, "user", "nobody"), (None, None, None, None)]
+    return rows
+
+
+def brute_trie(rows):
+    conv = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            conv[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest(), (role, text)))
+    turns = {c: [x[2] for x in sorted(v)] for c, v in conv.items()}
+    rebuilt = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = tuple(turns.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:])
+    members, kids = collections.defaultdict(list), collections.defaultdict(set)
+    for c, path in rebuilt.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+            if d:
+                kids[path[: d - 1]].add(path[:d])
+    leaves, saved = {}, {}
+    for path in sorted(members, key=len, reverse=True):
+        leaves[path] = sum(leaves[k] for k in kids[path]) or 1
+        saved[path] = sum(saved[k] for k in kids[path]) + ((len(members[path]) - 1) * len(path[-1][1]) if path else 0)
+    ends = lambda p: hashlib.sha256(",".join(str(c) for c in sorted(members[p]) if rebuilt[c] == p).encode()).hexdigest()
+    return collections.Counter((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p], ends(p)) for p, m in members.items())
+
+
+@pytest.mark.parametrize("partitions, block, chunk", [(1, 16, 1000), (4, 4, 7), (23, 1, 2)])
+def test_trie(spark, partitions, block, chunk):
+    rows = dialogues()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = trie.nodes(spark.createDataFrame([(*r, 1, "x") for r in rows], CONVERSATION), block, chunk).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert collections.Counter(tuple(r) for r in got) == brute_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert trie.nodes(spark.createDataFrame([], CONVERSATION)).count() == 0
+    assert trie.nodes(spark.createDataFrame([(None, 1, "user", "x", 1, "")], CONVERSATION)).count() == 0
+    # the only turn of 1203 is replaced by the beginning of a conversation that does not exist
+    only = [tuple(r) for r in trie.nodes(spark.createDataFrame([(1203, 0, "user", "x", 1, "")], CONVERSATION)).collect()]
+    assert collections.Counter(only) == brute_trie([(1203, 0, "user", "x")])
