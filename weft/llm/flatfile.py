@@ -10,13 +10,13 @@ before it. Bases are prefix sums over that table, so no task knows more than its
 corpus is base plus offset.
 
 Writing: rows are range-partitioned by (doc_id, text checksum, place in the input), so repeated ids and repeated rows are spread as well;
-a task sorts its range, encodes text by text and appends, holding one batch. A part is written under a name of its own
+a task sorts its range, encodes some 500 texts at a time and appends. A part is written under a name of its own
 and renamed when it is whole: a repeated attempt of a task gives the same bytes and replaces it. The folder has to be one that
 all executors reach; plain paths and ``file:`` are mapped into memory, other stores that pyarrow knows are read whole part by part.
 
-Token ids are those of the tokenizers library. A single space between two characters that are not white space always begins
-a token of a byte-level vocabulary, so what lies between such spaces is encoded once for each worker and remembered in a bounded table;
-misses of a batch go to the library together. This gives the ids of whole texts (tested).
+Token ids are those of the tokenizers library. A byte-level vocabulary encodes each pre-token alone, so a worker remembers pre-tokens
+in a bounded table and hands the library those that it has not met, some thousand together. Texts with other than plain characters are
+cut at single spaces between two characters that are not white space only, where a pre-token always begins. Both give the ids of whole texts (tested).
 
 Defined cases: null text is empty and holds the end id only; null ids come first; repeated rows are documents of their own; an
 empty table gives a corpus without documents; extra columns do not matter; the special token's literal in a text is ordinary text.
@@ -24,6 +24,7 @@ empty table gives a corpus without documents; extra columns do not matter; the s
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -38,57 +39,72 @@ from pyspark.sql import functions as F
 from weft.functions.lineage import materialize, scratch_path
 
 END_TOKEN = 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+GROUP_CHARS = 1 << 20
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s")
+# the vocabulary's pre-token pattern for texts of ASCII and the letters of Latin-1, whose classes no library disputes
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*\Z")
+_PRE_TOKEN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 PART_BYTES = 256 << 20  # of text in a part, at most about
 _PART = "part int, n_docs bigint, n_null bigint, n_tokens bigint, width int"
 
 
 def cut(text: str) -> list[str]:
-    """The text in pieces that can be encoded apart; all but the first begin with a space."""
-    if "\0" in text:
-        return [text]
-    if _RUN.search(text):
-        return _INNER_SPACE.sub("\0 ", text).split("\0")
-    return text.replace(" ", "\0 ").split("\0")
+    """The text in pieces that the library encodes the same alone: its own pre-tokens where all characters are plain, else what
+    lies between inner single spaces."""
+    if _PLAIN.match(text):
+        return _PRE_TOKEN.findall(text)
+    return [text] if "\0" in text else _INNER_SPACE.sub("\0 ", text).split("\0")
 
 
 class Encoder:
     """Ids of texts as little-endian bytes of ``width`` each, the end id last."""
 
     def __init__(self, vocabulary: str, end: int = END_TOKEN):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.vocabulary = vocabulary
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._end = self._bytes([end])
+        numbers = np.arange(self._tokenizer.get_vocab_size(), dtype=f"<u{self.width}")
+        self._word = [x.tobytes() for x in numbers]
+        self._end = self._word[end]
         self._known: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self._known) + len(pieces) > CACHE_ENTRIES:
-            self._known.clear()
-        new = list(pieces)
-        for piece, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[piece] = self._bytes(e.ids)
-
-    def encode(self, text: str) -> bytes:
-        pieces = cut(text)
-        try:
-            return b"".join(map(self._known.__getitem__, pieces)) + self._end
-        except KeyError:
-            self._learn({p for p in pieces if p not in self._known})
-        if len(pieces) <= CACHE_ENTRIES // 2:
-            missing = {p for p in pieces if p not in self._known}
-            if missing:  # the table was emptied for the new ones
-                self._learn(missing)
-            return b"".join(map(self._known.__getitem__, pieces)) + self._end
-        return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids) + self._end
+    def _library(self, texts: list[str]) -> list[bytes]:
+        word = self._word.__getitem__
+        return [b"".join(map(word, e.ids)) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for group in _groups(texts):
+            pieces = [cut(t) for t in group]
+            seen = set().union(*pieces)
+            new = list(seen.difference(self._known))
+            if len(self._known) + len(new) > CACHE_ENTRIES:
+                self._known.clear()
+                new = list(seen)
+            if len(new) > CACHE_ENTRIES:
+                out += [x + self._end for x in self._library(group)]
+                continue
+            self._known.update(zip(new, self._library(new), strict=True))
+            out += [b"".join(map(self._known.__getitem__, x)) + self._end for x in pieces]
+        return out
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``GROUP_CHARS``, or single longer ones."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > GROUP_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 @lru_cache(maxsize=2)
@@ -186,8 +202,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFr
             for f in frames:
                 if len(f):
                     part[:] = [int(f["part"].iloc[0])]
-                for key, text in zip(f["doc_id"].astype("Int64"), f["text"], strict=True):
-                    yield None if key is pd.NA else int(key), enc.encode(text)
+                for at in range(0, len(f), 500):
+                    some = f.iloc[at : at + 500]
+                    for key, ids in zip(some["doc_id"].astype("Int64"), enc.encode(some["text"].tolist()), strict=True):
+                        yield None if key is pd.NA else int(key), ids
 
         stream = pairs()
         first = next(stream, None)
