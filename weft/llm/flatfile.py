@@ -192,7 +192,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFr
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     order = [F.asc_nulls_first("doc_id"), F.col("_crc"), F.col("_at")]
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", F.spark_partition_id().alias("part"))
 
     def encode(frames):
         enc = encoder(vocabulary)
@@ -204,8 +205,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> DataFr
                     part[:] = [int(f["part"].iloc[0])]
                 for at in range(0, len(f), 500):
                     some = f.iloc[at : at + 500]
-                    for key, ids in zip(some["doc_id"].astype("Int64"), enc.encode(some["text"].tolist()), strict=True):
-                        yield None if key is pd.NA else int(key), ids
+                    for key, none, ids in zip(some["doc_id"].tolist(), some["none"].tolist(), enc.encode(some["text"].tolist()), strict=True):
+                        yield None if none else key, ids
 
         stream = pairs()
         first = next(stream, None)
@@ -243,7 +244,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    key, start, n, crc = zip(*rows, strict=True)
+    return pd.DataFrame({"doc_id": pd.array(key, "Int64"), "start": start, "n_tokens": n, "ids_crc32": crc})
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

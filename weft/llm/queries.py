@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm import decontam, fixity, flatfile, html, jaccard, packing, pii, quality, sharding, substrings, toxicity, trie
+from weft.llm import decontam, fixity, flatfile, html, jaccard, packing, pii, quality, repair, sharding, substrings, toxicity, trie
 from weft.llm.oracles import ORACLE
 from weft.llm.text import table
 
@@ -90,3 +90,8 @@ def op11_flat_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return trie.nodes(table(spark, sf, "conversations"))
+
+
+@query
+def op13_grammar_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.report(table(spark, sf, "conversations"))
