@@ -80,8 +80,8 @@ def vectors(spark, n, d, seed, name):
     return m, spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], f"{name} bigint, vec array<double>")
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_top_items_equals_full_sort(spark, block):
+@pytest.mark.parametrize("sizes", [(3, 4, 2), (7, 5, 100), (2_048, 4_096, 64)])
+def test_top_items_equals_full_sort(spark, sizes):
     um, u = vectors(spark, 40, 6, 1, "user_id")
     im, i = vectors(spark, 33, 6, 2, "item_id")
     im[20:25] = im[5]  # equal scores
@@ -89,7 +89,7 @@ def test_top_items_equals_full_sort(spark, block):
     seen_rows = [(a, b) for a in range(40) for b in range(33) if (a * 7 + b) % 4 == 0] + [(39, b) for b in range(33)]
     seen = spark.createDataFrame(sorted(set(seen_rows)), "user_id bigint, item_id bigint")
     got = {}
-    for r in recommend.top_items(u, i, seen, 5, block).collect():
+    for r in recommend.top_items(u, i, seen, 5, *sizes).collect():
         got.setdefault(r["user_id"], {})[r["rank"]] = r["item_id"]
     scores = um @ im.T
     for a in range(40):
@@ -99,6 +99,25 @@ def test_top_items_equals_full_sort(spark, block):
     assert 39 not in got
 
 
+def test_search_skips_what_cannot_win(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 8)) * 5
+    im = np.concatenate([c + 0.05 * rng.standard_normal((30, 8)) for c in centres])
+    um = np.concatenate([centres[rng.integers(0, 12, 60)], np.repeat(centres[:1], 40, axis=0)])  # 40 members of one super node
+    frame = lambda m, name: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], f"{name} bigint, vec array<double>")
+    u, i = frame(um, "user_id"), frame(im, "item_id")
+    seen = spark.createDataFrame([(a, (a * 13 + j) % 360) for a in range(100) for j in range(9)], "user_id bigint, item_id bigint")
+    masked = {(r["user_id"], r["item_id"]) for r in seen.collect()}
+    got = {(r["user_id"], r["rank"]): r["item_id"] for r in recommend.top_items(u, i, seen, 4, 50, 16, 8).collect()}
+    scores = np.round(um @ im.T, 9)
+    assert len(got) == 400
+    for a in range(100):
+        want = sorted((b for b in range(360) if (a, b) not in masked), key=lambda b: (-scores[a, b], b))[:4]
+        assert [got[a, r] for r in range(1, 5)] == want
+    cost = recommend.search_cost(u, i, seen, 4, 50, 16, 8).first()
+    assert cost["possible"] == 36_000 and 0 < cost["scored"] < cost["possible"] / 4
+
+
 def test_fewer_unseen_items_than_k(spark):
     u = spark.createDataFrame([(0, [1.0])], "user_id bigint, vec array<double>")
     i = spark.createDataFrame([(j, [float(j)]) for j in range(3)], "item_id bigint, vec array<double>")
