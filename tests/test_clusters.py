@@ -58,6 +58,19 @@ def test_rounds_form_a_matching(edges, users, prefer):
     assert sizes.agg(F.max("count")).first()[0] == 2
 
 
+def test_greedy_settles_a_long_path_in_few_jumps(edges, spark):
+    n = 20_000  # scores ascend along the path: a scan by local maxima would need n / 2 rounds
+    path = spark.range(n).selectExpr("id AS u", "id + 1 AS v", f"0.1 + id / {2 * n} AS score")
+    rounds: list[int] = []
+    got = cluster.match_greedy(path, rounds)
+    assert sorted(r["u"] for r in got.collect()) == list(range(1, n, 2))  # the best edge is the last, then every other one
+    assert sum(rounds) + len(rounds) <= 20
+
+
+def test_greedy_without_edges(edges):
+    assert cluster.match_greedy(edges([(0, 1, -1.0)])).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_greedy_equals_sequential_scan(edges, pairs_of, seed):
     rows = random_edges(60, 250, seed, values=12)  # many equal scores

@@ -89,12 +89,53 @@ def match_heavy_edges(edges: DataFrame, users: DataFrame, max_cluster_size: int
     return pairs_to_map(matched_pairs(edges, rounds, prefer), users)
 
 
-def match_greedy(edges: DataFrame) -> DataFrame:
-    """Greedy matching over positive edges in globally descending order.
-
-    Repeatedly taking every edge that is best at both ends under a strict total order gives exactly the pairs of the
-    sequential greedy scan."""
-    return matched_pairs(edges.where("score > 0"), None, "heaviest")
+def _chain_links(edges: DataFrame) -> DataFrame:
+    """Edges that are the best of at least one end, with what decides them: (u, v, pu, pv, odd, done, won).
+
+    An edge that is best at both ends is taken. One that is best at one end and second at the other has a single rival, the best
+    edge (pu, pv) there, and is taken exactly if that one is not. Any other edge has more rivals and stays open (done, not won)."""
+    order = Window.partitionBy("end").orderBy(F.desc("s"), "u", "v")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("end"), "u", "v", "s")
+    top = cut(ends.withColumn("r", F.row_number().over(order)).where("r <= 2").select("end", "u", "v", "r"))
+    best = top.where("r = 1").select(F.col("end").alias("at"), F.col("u").alias("bu"), F.col("v").alias("bv"))
+    mine = top.groupBy("u", "v").agg(F.count_if(F.col("r") == 1).alias("firsts"), F.max(F.when(F.col("r") == 2, F.col("end"))).alias("at")).where("firsts > 0")
+    linked = F.col("bu").isNotNull()
+    return mine.join(best, "at", "left").select(
+        "u", "v", F.coalesce("bu", "u").alias("pu"), F.coalesce("bv", "v").alias("pv"), linked.alias("odd"), (~linked).alias("done"), (F.col("firsts") == 2).alias("won"))
+
+
+def _pairs_by_chains(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that are settled by chains of single rivals, and the number of jumps: pointers along a chain are doubled, with the
+    parity of the distance, until they reach its end. An edge is the single rival of at most one edge at each end, so no
+    pointer is shared by many; those that have arrived take no part in later joins."""
+    state, jumps = cut(_chain_links(edges)), 0
+    while not state.where("not done").isEmpty():
+        to = state.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("nu"), F.col("pv").alias("nv"), F.col("odd").alias("o"), F.col("done").alias("d"), F.col("won").alias("w"))
+        moved = state.where("not done").join(to, ["pu", "pv"]).select(
+            "u", "v", F.col("nu").alias("pu"), F.col("nv").alias("pv"), (F.col("odd") != F.col("o")).alias("odd"), F.col("d").alias("done"), F.col("w").alias("won"))
+        state, jumps = cut(state.where("done").unionByName(moved)), jumps + 1
+    return state.where("won and not odd").select("u", "v"), jumps
+
+
+def match_greedy(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """Greedy matching over positive edges in globally descending order: the pairs (u, v) of the sequential scan.
+
+    An edge is taken exactly if no better edge at its ends is. Each round settles whole chains of edges with a single rival, so a long
+    ascending path takes as many jumps as the logarithm of its length. ``rounds`` receives the jumps of each round."""
+    free, found = cut(edges.where("score > 0").select("u", "v", F.round("score", 9).alias("s"))), []
+    while not free.isEmpty():
+        pairs, jumps = _pairs_by_chains(free)
+        pairs = cut(pairs)
+        found.append(pairs)
+        if rounds is not None:
+            rounds.append(jumps)
+        free = cut(_drop_taken(free, pairs))
+    if not found:
+        return edges.select("u", "v").where("false")
+    out = found[0]
+    for p in found[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
