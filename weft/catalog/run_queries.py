@@ -38,8 +38,8 @@ def records(spark, sf):
     )
 
 
-def present(spark, sf):
-    """All configurations but one."""
+def with_hole(spark, sf):
+    """All configurations but one, for the matrix that has to show a missing run."""
     missing = (F.col("mode") == "cosine") & (F.col("fraction") == 0.25) & (F.col("min_shared") == 5)
     return records(spark, sf).where(~missing)
 
@@ -48,7 +48,7 @@ _CTES = f"""rec AS (SELECT list_extract({runs.MODES!r}, l_orderkey % 2 + 1) AS m
     CAST(list_extract({runs.MIN_SHARED!r}, (l_orderkey // 8) % 3 + 1) AS BIGINT) AS min_shared, list_extract({MODELS!r}, l_partkey % 4 + 1) AS model, CASE WHEN l_suppkey % 2 = 0 THEN 'baseline' ELSE 'reduced' END AS run_type,
     l_discount AS ndcg, l_tax AS recall, l_quantity / 100 AS precision, l_extendedprice / 10000 AS time_s, l_orderkey AS seq, l_extendedprice AS price,
     l_linenumber::BIGINT AS line_no, l_partkey AS part, l_suppkey AS supp FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-  pre AS (SELECT * FROM rec WHERE NOT (mode = 'cosine' AND fraction = 0.25 AND min_shared = 5)),
+  pre AS (SELECT * FROM rec{{hole}}),
   met AS (SELECT mode, fraction, min_shared, model, run_type, round(avg(ndcg), 12) AS ndcg, round(avg(recall), 12) AS recall, round(avg(precision), 12) AS precision, round(sum(time_s), 6) AS time_s, count(*) AS n FROM pre GROUP BY ALL),
   spd AS (SELECT mode, fraction, min_shared, model, b.time_s AS bt, r.time_s AS rt, round(b.time_s / r.time_s, 4) AS factor, round(100 * (b.n - r.n) / b.n, 4) AS mem, round(r.time_s / 10, 9) AS prep
     FROM (SELECT * FROM met WHERE run_type = 'baseline') b JOIN (SELECT * FROM met WHERE run_type = 'reduced') r USING (mode, fraction, min_shared, model)),
@@ -59,16 +59,17 @@ _CTES = f"""rec AS (SELECT list_extract({runs.MODES!r}, l_orderkey % 2 + 1) AS m
     any_value(g.prep) AS preprocessing_time_s, any_value(g.supers) AS num_super_nodes FROM met m LEFT JOIN grp g USING (mode, fraction, min_shared) GROUP BY 1, 2, 3, 4)"""
 
 
-def _sql(body: str, more: str = "") -> str:
-    return f"WITH {_CTES}{', ' + more if more else ''}\n{body}"
+def _sql(body: str, more: str = "", hole: bool = False) -> str:
+    ctes = _CTES.replace("{hole}", " WHERE NOT (mode = 'cosine' AND fraction = 0.25 AND min_shared = 5)" if hole else "")
+    return f"WITH {ctes}{', ' + more if more else ''}\n{body}"
 
 
 KEY = ["mode", "fraction", "min_shared"]
 
 
-def write_result_files(spark, sf) -> str:
+def write_result_files(spark, sf, source=records) -> str:
     """Nested result files, one per run, in directories named after the run's parameters."""
-    p = materialize(present(spark, sf), "records")
+    p = materialize(source(spark, sf), "records")
     m = p.groupBy(*KEY, "model", "run_type").agg(
         rnd(F.avg("ndcg"), 12).alias("NDCG@10"), rnd(F.avg("recall"), 12).alias("Recall@10"), rnd(F.avg("precision"), 12).alias("Precision@10"),
         rnd(F.sum("time_s"), 6).alias("training_time_s"), F.count(F.lit(1)).alias("n"),
@@ -95,12 +96,12 @@ def write_result_files(spark, sf) -> str:
     return path
 
 
-def loaded(spark, sf):
-    return read_runs(spark, write_result_files(spark, sf) + "/*/*.json")
+def loaded(spark, sf, source=records):
+    return read_runs(spark, write_result_files(spark, sf, source) + "/*/*.json")
 
 
-def flat(spark, sf):
-    return runs.flatten_sweep(loaded(spark, sf))
+def flat(spark, sf, source=records):
+    return runs.flatten_sweep(loaded(spark, sf, source))
 
 
 @query("a03_read_runs_metrics", _sql("SELECT mode, fraction, min_shared, model, run_type, ndcg, recall, precision, time_s FROM met"))
@@ -207,9 +208,9 @@ _CELL = ", ".join(
     f"round(max(100 * (reduced_ndcg - base_ndcg) / base_ndcg) FILTER (min_shared = {s}), 6) AS delta_pct_{s}" for s in runs.MIN_SHARED)
 
 
-@query("i03_sweep_matrix", _sql(f"SELECT g.mode, g.model, g.fraction, {_CELL} FROM (SELECT DISTINCT mode, model, f AS fraction FROM flat, (SELECT CAST(unnest({runs.FRACTIONS!r}) AS DOUBLE) AS f)) g LEFT JOIN flat USING (mode, model, fraction) GROUP BY ALL"))
+@query("i03_sweep_matrix", _sql(f"SELECT g.mode, g.model, g.fraction, {_CELL} FROM (SELECT DISTINCT mode, model, f AS fraction FROM flat, (SELECT CAST(unnest({runs.FRACTIONS!r}) AS DOUBLE) AS f)) g LEFT JOIN flat USING (mode, model, fraction) GROUP BY ALL", hole=True))
 def i03(spark, sf):
-    m = runs.sweep_matrix(materialize(flat(spark, sf), "flat"), "ndcg")
+    m = runs.sweep_matrix(materialize(flat(spark, sf, with_hole), "flat"), "ndcg")
     cells = [(s, c) for s in runs.MIN_SHARED for c in ("base", "reduced", "delta", "delta_pct")]
     return m.select("mode", "model", "fraction", *[(rnd(F.col(f"`{s}_{c}`")) if "delta" in c else F.col(f"`{s}_{c}`")).alias(f"{c}_{s}") for s, c in cells])
 
