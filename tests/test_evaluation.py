@@ -1,11 +1,14 @@
 """Ranking metrics with hand-computed values, sampling guarantees, recommendations and comparisons."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weft.functions import stats
 from weft.operators import compare, evaluate, explain, propagate, recommend, runs
 from weft.sources.runs import read_runs
 
@@ -68,6 +71,36 @@ def test_top_up_reaches_every_unseen_item(spark):
     assert all(c == 3 for c in counts.values())
 
 
+@pytest.mark.parametrize("n_items", [1, 7, 64, 1003])
+def test_top_up_equals_the_walk(spark, n_items):
+    """Brute force: every step of the walk is made and the first free items are kept."""
+    rng = np.random.default_rng(n_items)
+    have = {u: set(rng.choice(n_items, rng.integers(0, n_items + 1), replace=False).tolist()) for u in range(8)}
+    need = {u: int(rng.integers(1, 12)) for u in have}
+    seen = spark.createDataFrame([(u, i) for u, items in have.items() for i in items] + [(0, n_items), (0, -1), (1, None)], "user_id bigint, item_id bigint")
+    short = spark.createDataFrame(list(need.items()), "user_id bigint, need bigint")
+    got = evaluate._topped_up(short, seen, n_items, 10, 5).collect()
+    want = set()
+    for u, items in have.items():
+        start = int(hashlib.md5(f"5|{u}".encode()).hexdigest()[:15], 16)
+        walk = [((start + j * evaluate._STEP) % n_items, 40 + j) for j in range(n_items)]
+        want |= {(u, i, d) for i, d in [w for w in walk if w[0] not in items][: min(need[u], 10)]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_ranks_of_a_large_group_come_from_many_slices(spark, request):
+    rows = spark.range(40_000).selectExpr("if(id % 10 < 8, 1, if(id % 10 = 8, null, id)) as user_id", "(id * 7919) % 1000 as s", "id")
+    order = [F.desc("s"), F.col("id").asc()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    slices = {r["_part"] for r in stats._ordered_slices(rows, [F.col("user_id"), *order])[0].where("user_id = 1").select("_part").distinct().collect()}
+    assert len(slices) > 3
+    plain = rows.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).cast("bigint"))
+    got = stats.ordered_rank_in_group(rows, ["user_id"], order, "rank").select(plain.columns)
+    assert got.count() == 40_000 and got.exceptAll(plain).isEmpty()
+    assert stats.ordered_rank_in_group(rows.where("false"), ["user_id"], order, "rank").count() == 0
+
+
 def test_distinct_negatives_never_repeat(spark):
     pos, seen, *_ = negatives_fixture(spark)
     got = evaluate.sample_negatives(pos, seen, 10, 6, 1, distinct=True)

@@ -91,6 +91,21 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank0") -> Data
     )
 
 
+def ordered_rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based rank inside each group under a total order; a group of very many rows is spread over many range slices.
+
+    A slice holds whole groups, but for the ones at its two ends, so the table of (group, slice) starts and sizes has one row
+    per group and one more per slice. Rows with a null key form a group of their own."""
+    rows, _ = _ordered_slices(df, [F.col(k) for k in keys] + order)
+    runs = rows.groupBy(*keys, "_part").agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_slice"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = F.col("_part") == F.col("_slice")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(shifts, same).withColumn(name, F.col("_idx") + F.col("_shift")).drop("_part", "_idx", "_slice", "_shift", *[f"_key_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` under a total order, one range slice per task plus slice offsets."""
     rows, by_part = _ordered_slices(df, order)
