@@ -4,6 +4,7 @@ import collections
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,42 @@ def test_main_text(spark):
     assert html.main_text(pages.where("false"), html.train(pages.where("false"))).count() == 0
 
 
+def test_pages_without_telling_names_are_labelled_by_context(spark):
+    """Names say nothing: menus, legal lines and comments go and articles stay, by words, measures and neighbours."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoinsrhl") for _ in range(rng.randrange(2, 9)))
+    text = lambda lo, hi: " ".join(word() for _ in range(rng.randrange(lo, hi))) + "."
+    trained = []
+    for i in range(150):
+        menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in (word() for _ in range(6)))
+        body = "".join(f"<p>{text(3, 80)}</p>" for _ in range(rng.randrange(2, 9)))
+        trained.append((i, "u", f'<html><body><nav><ul>{menu}</ul></nav><div class="ad">{text(3, 12)}</div><article><h1>{text(4, 9)}</h1>{body}</article><footer>&copy; {word()}</footer></body></html>'))
+    p = html.train(spark.createDataFrame(trained, "page_id bigint, url string, html string"))
+    right = {True: [], False: []}
+    for i in range(60):
+        a, b, c, d = (f"{word()}{i}" for _ in range(4))
+        body = [text(5, 80) for _ in range(rng.randrange(3, 9))]
+        comment = rng.choice(["Great article, thanks for sharing!", "I totally agree with this.", "Thanks, nice post."])
+        page = f"""<html><body><div class="{a}"><ul><li><a href="/x">Home</a></li><li><a href="/y">News</a></li></ul></div><div class="{b}">{"".join(f"<p>{x}</p>" for x in body)}</div>
+            <div class="{c}"><p>{comment}</p></div><div class="{d}">Copyright 2024 All rights reserved. <a href="/p">Privacy</a> <a href="/t">Terms</a></div></body></html>"""
+        parsed = html.blocks(page)
+        for (_, said, _), keep in zip(parsed, html.label([parsed], p, {})[0], strict=True):
+            right[said in body].append(bool(keep) == (said in body))
+    assert np.mean(right[True]) > 0.9 and np.mean(right[False]) > 0.8, (np.mean(right[True]), np.mean(right[False]))
+
+
+def test_broken_pages_take_linear_time():
+    for piece in ("<div ", '<svg a="', '<b class="', "<!-- x", "<a href='", "<object>x</p><p>", '<b ">" ', "<div class=q>", "</b>x", "<i></u>", "<svg x>a", "<a<b"):
+        for end in ("", ">", '"', "'>"):
+            began = time.process_time()
+            html.blocks(piece * (250_000 // len(piece)) + end)
+            assert time.process_time() - began < 3, (piece, end)
+    html.blocks("".join(f"<div class=c{i}>" for i in range(20_000)) + "x" + "</b>" * 20_000)
+    assert [b[1] for b in html.blocks("<article><p>A <object>x</p><p>B here.</p>")] == ["A", "x", "B here."]
+    assert [b[1] for b in html.blocks("<p title='a > b'>One</p><p title='x>Two</p><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [b[1] for b in html.blocks("<p>1 < 2 <> 3</p><p>4 <")] == ["1 < 2 <> 3", "4 <"]
+
+
 def test_icons_do_not_swallow_the_page():
     for icon in ("<svg-icon name=x></svg-icon>", "<title-bar>Menu</title-bar>", "<svg class=i/>", "<SVG/>", '<svg aria-label="a > b" />', "<svg viewBox='0 0 1 1'><title>no</title><path d=x/></svg>"):
         got = [b[1] for b in html.blocks(f"<nav>{icon}</nav><article><p>One two.</p><p>Three {icon} four.</p></article>")]

@@ -8,13 +8,16 @@ The model is trained on at most ``MAX_PAGES`` pages, chosen by a hash of the id.
 more than ``MAX_BLOCKS`` blocks, runs of ``RUN`` neighbouring ones, ``MAX_BLOCKS`` in all, are drawn by hash over the whole page;
 ``SPARES`` blocks of each page, drawn likewise, give the texts of added blocks. The driver gets the path of each of these blocks,
 what ``read`` finds in its whole text, and the first ``MAX_SPARE`` characters for texts that are varied. Blocks are labelled weakly:
-by elements whose meaning HTML or common class names fix (``BOILERPLATE``, ``CONTENT``). Since the pages of one corpus use few of
-them, each training page is also varied: blocks of other kinds are put before, after and between its own, and the wrappers of the
-article are renamed. Weights reach the tasks inside the function that Spark ships.
+by elements whose meaning HTML or common class names fix (``BOILERPLATE``, ``CONTENT``); the network sees names only as hashes.
+Since the pages of one corpus use few of them, each training page is also varied: blocks of other kinds are put before, after and
+between its own, with texts of the corpus or with what such blocks commonly say (``_SAYINGS``), the wrappers of the article are
+renamed, and a third of the pages lose all telling names, so that words, measures and neighbours decide. Weights reach the tasks inside the function that Spark ships.
 
 Defined cases: null and empty html give an empty text; a page without any block that looks like content gives an empty
-text; broken markup is read as far as it goes, with an unclosed tag taken as text; repeated rows get equal results; extra
-columns do not matter.
+text; broken markup is read as far as it goes in one forward scan, with an unclosed tag taken as text, an unclosed svg or object
+read on, and other unclosed silent elements silent to the end; elements nested deeper than ``MAX_DEPTH`` have the path of the one
+above, and of an element's class names the first ``MAX_NAMES`` enter its path; repeated rows get equal results; extra columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,21 +38,19 @@ from weft.llm import lstm
 
 MAX_PAGES, MAX_BLOCKS = 240, 200
 RUN, SPARES, MAX_SPARE = 10, 8, 400
-PATH_DIM, WORD_DIM, HIDDEN = 130, 64, 20
-# Elements that do not break a block, elements without an end tag, elements whose content is no text (a svg that
-# closes itself has none).
+PATH_DIM, WORD_DIM, HIDDEN = 384, 128, 32
+# Elements that do not break a block, elements without an end tag, and (_SILENT) elements whose content is no text.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|template|noscript|title|textarea|svg|iframe|object"
 # What elements, classes and ids commonly stand for.
 BOILERPLATE = frozenset("""nav menu menubar navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom copyright aside sidebar related
     recommended widget ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal newsletter
     subscribe signup login form button select option comment comments comment-list reply discussion disqus social share sharing pagination pager toolbar dialog""".split())
 CONTENT = frozenset("article main content post entry story body-text articlebody post-content entry-content text".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})(?=[\s/>])(?:(?<=svg)(?>\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>|[^>]*>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"(?>\"[^\"]*\"|'[^']*'|[^'\">])*+")  # of a tag: closed quotes may hold ">"
+_SILENT = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template noscript title textarea svg iframe object".split()}
+MAX_DEPTH, MAX_NAMES = 512, 64
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 Block = tuple[frozenset, str, int]  # path tokens, text, characters inside links
@@ -62,10 +65,10 @@ class _Paths(dict):
     def __missing__(self, key: tuple[frozenset, str, str]) -> frozenset:
         above, tag, attributes = key
         own = {f"<{tag}"}
-        for groups in _MARK.findall(attributes) if "=" in attributes else ():
-            for name in "".join(groups).lower().split():
-                own.add(name)
-                own.update(x for x in re.split(r"[^a-z]+", name) if x)
+        names = [x for groups in _MARK.findall(attributes) for x in "".join(groups).lower().split()] if "=" in attributes else []
+        for name in names[:MAX_NAMES]:
+            own.add(name)
+            own.update(x for x in re.split(r"[^a-z]+", name) if x)
         if len(self) > 20_000:
             self.clear()
             self.one.clear()
@@ -77,10 +80,60 @@ class _Paths(dict):
 _PATHS = _Paths()
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag, and of comments and silent elements as wholes ("!" or their name with
+    a "!"), in one forward scan.
+
+    A search that finds nothing is never made again, so broken pages take linear time: beyond the last ">" all is text; where a
+    quote is never closed, the tags up to it end at the next ">"; an end tag that is nowhere ahead is not looked for again."""
+    at, last, open_quote, absent = 0, page.rfind(">"), 0, set()
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "!", False, ""
+            continue
+        if start > last:
+            return
+        if page[at] in "!?":
+            at = page.index(">", at) + 1
+            yield start, at, "!", False, ""
+            continue
+        m = _NAME.match(page, start)
+        if not m:
+            continue
+        end = -1
+        if start >= open_quote:
+            end = _INSIDE.match(page, m.end()).end()
+            if end == len(page) or page[end] != ">":
+                open_quote, end = max(end, start + 1), -1
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:  # the name took the last one's place in text such as "<a<b"
+                return
+        name, closing, attributes, at = m[1].lower(), page[start + 1] == "/", page[m.end() : end], end + 1
+        if name in _SILENT and not closing and not (name == "svg" and attributes.endswith("/")):
+            over = None if name in absent else _SILENT[name].search(page, at)
+            if over:
+                at = over.end()
+            else:
+                absent.add(name)
+            if over or name not in ("svg", "object"):  # these two hold markup: unclosed, they are read on as other elements
+                at = at if over else len(page)
+                yield start, at, "!" + name, False, ""
+                continue
+        elif name == "svg" and not closing:
+            yield start, at, "!svg", False, ""
+            continue
+        yield start, at, name, closing, attributes
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, white space folded and character references decoded."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = at = 0
 
@@ -98,33 +151,36 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(piece)
             linked += len(piece) if "<a" in stack[-1][1] else 0
 
+    def close(depth: int):
+        for name, _ in stack[depth:]:
+            opened[name] -= 1
+        del stack[depth:]
+
     page = page or ""
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            if m[1]:
+    for start, end, tag, closing, attributes in _tags(page):
+        text(page[at:start])
+        at = end
+        if tag[0] == "!":
+            if len(tag) > 1:
                 parts.append(" ")
             continue
         if tag in ("br", "img", "input"):
             parts.append(" ")
         elif tag not in INLINE:
             end_block()
-        if m[2] or m[5]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                del stack[depth:]
+        if closing:
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
         elif tag not in VOID:
             if tag not in INLINE:  # a new block ends an open paragraph; a list item or cell ends the last one
                 ends = ("p", tag) if tag in ("li", "td", "th", "tr", "dt", "dd", "option") else ("p",)
                 depth = next((i for i in range(len(stack) - 1, max(0, len(stack) - 6), -1) if stack[i][0] in ends), 0)
                 if depth:
-                    del stack[depth:]
-            attributes = m[4] or m[7] or ""
+                    close(depth)
             if "href" in attributes and tag == "a":
                 attributes = ""
-            stack.append((tag, _PATHS[stack[-1][1], tag, attributes]))
+            stack.append((tag, _PATHS[stack[-1][1], tag, attributes] if len(stack) <= MAX_DEPTH else stack[-1][1]))
+            opened[tag] += 1
     text(page[at:])
     end_block()
     return out
@@ -169,7 +225,7 @@ class Head(str):
 
 
 def features(page: list[Block], paths: dict) -> np.ndarray:
-    """(blocks, INPUTS): hashed path with the counts of names of known meaning, all words hashed, measures of length, stops and links."""
+    """(blocks, INPUTS): hashed path, all words hashed, measures of length, stops and links."""
     x = np.zeros((len(page), INPUTS), np.float32)
     measures = []
     for i, (path, text, linked) in enumerate(page):
@@ -177,13 +233,11 @@ def features(page: list[Block], paths: dict) -> np.ndarray:
         if v is None:
             if len(paths) > 20_000:
                 paths.clear()
-            names = {t.removeprefix("<") for t in path}
-            known = [2.0 * min(len(names & BOILERPLATE), 2), min(len(names & CONTENT), 2)]
-            v = paths[path] = np.r_[_slots(path, PATH_DIM - 2) / 2, known].astype(np.float32)
+            v = paths[path] = np.clip(_slots(path, PATH_DIM), -2, 2)
         row = x[i]
         row[:PATH_DIM] = v
         words, *more = text.whole if isinstance(text, Head) else read(text)
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.array(words, np.float32) / np.sqrt(more[1])  # long and short blocks alike in size
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.clip(np.array(words, np.float32) / np.sqrt(more[1]), -1.5, 1.5)  # long, short and repetitive blocks alike in size
         measures.append((*more, linked))
     m = np.array(measures, np.float32)
     x[:, PATH_DIM + WORD_DIM :] = np.c_[np.log1p(m[:, 0]) / 5, np.log1p(m[:, 1]) / 4, m[:, 2] / (m[:, 1] + 1), m[:, 3], np.ones(len(m)), m[:, 4] / (m[:, 0] + 1)]
@@ -204,12 +258,51 @@ _FORMS = [x.split() for x in ("<ul <li", "<ol <li", "<table <tr <td", "<table <t
                               "<figure <figcaption", "<dl <dt", "<dl <dd", "<div", "<section <p", "<section <h2", "<div <p", "<b <p", "<table <tbody <tr <td")]
 
 
+# What menus, legal lines, comments, adverts, notices and forms commonly say, in the four languages of the tables.
+_SAYINGS = {kind: [x.strip() for x in lines.split("|")] for kind, lines in {
+    "menu": """Home | About us | Contact | Products | News | Blog | Search | Back to top | Next page | Read more | Startseite | Über uns | Kontakt | Suche | Mehr lesen
+        | Accueil | À propos | Rechercher | Lire la suite | Inicio | Sobre nosotros | Contacto | Buscar | Leer más | Related articles | You may also like | Most read""",
+    "legal": """© 2021 Acme Ltd. All rights reserved. | Copyright 2019 The Company. All rights reserved. | Privacy policy | Terms of use | Privacy Terms Imprint | Alle Rechte vorbehalten.
+        | Impressum Datenschutz | Tous droits réservés. | Mentions légales Confidentialité | Todos los derechos reservados. | Aviso legal Privacidad | Powered by Press | Sitemap""",
+    "comment": """Nice article, thanks for sharing! | Great post. | I totally agree with you. | I disagree, this is wrong. | Thank you, this helped me a lot. | Reply | Anna says: | Posted by max on 3 May
+        | 12 comments | Leave a comment | Danke für den Artikel! | Toller Beitrag, ich stimme zu. | Merci pour cet article ! | Je suis d'accord. | Gracias por el artículo. | Muy buen texto.""",
+    "advert": """Advertisement | Sponsored | Buy now | Buy now and save 50% today! | Limited offer: free shipping on all orders. | Click here for the best deals. | Anzeige | Jetzt kaufen
+        | Publicité | Achetez maintenant | Publicidad | Compra ahora""",
+    "notice": """We use cookies to improve your experience. Accept all Reject | This site uses cookies. Learn more. | Accept | Wir verwenden Cookies. Akzeptieren
+        | Nous utilisons des cookies. Accepter | Usamos cookies. Aceptar | Please enable JavaScript to continue. | Allow notifications?""",
+    "form": """Subscribe to our newsletter | Your email address | Sign up | Log in | Username Password | Submit | Newsletter abonnieren | Anmelden | S'abonner | Se connecter
+        | Suscríbete | Iniciar sesión | Share on Facebook | Tweet | Follow us""",
+}.items()}
+_NAMED = frozenset("<" + x for x in "nav header footer aside form article main button menu select option dialog section label".split())
+
+
+def _unnamed(page: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with made-up names in place of its own, and mostly without the elements whose names tell what they hold."""
+    bare, names, paths = rng.random() < 0.7, {}, {}
+    for path in dict.fromkeys(b[0] for b in page):
+        new = set()
+        for t in sorted(path):
+            if t[0] != "<" and t not in names:
+                names[t] = "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9)))
+            new.add("<div" if bare and t in _NAMED else names.get(t, t))
+        paths[path] = frozenset(new)
+    return [(paths[path], text, linked) for path, text, linked in page]
+
+
+def _repetitive(block: Block, rng: np.random.Generator) -> Block:
+    """The block with one of its words in place of all, so that no single word decides."""
+    path, text, linked = block
+    said = " ".join([str(rng.choice(text[:MAX_SPARE].split() or [text]))] * int(2 ** rng.uniform(0, 10)))
+    return path, said, len(said) if linked else 0
+
+
 def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tuple[list[Block], list[float]]:
-    """A training page with renamed wrappers and blocks of other kinds put among its own."""
-    marks, kept = sorted(BOILERPLATE), sorted(CONTENT)
+    """A training page with renamed wrappers and blocks of other kinds put among its own; a third lose all telling names, so that
+    words, measures and neighbours have to decide."""
+    marks, kept, nameless = sorted(BOILERPLATE), sorted(CONTENT), rng.random() < 0.35
 
     def wrapper(name: str) -> frozenset:
-        tag = f"<{name}" if name in ("nav", "header", "footer", "aside", "form", "article", "main", "button", "menu", "select", "option", "dialog") and rng.random() < 0.7 else "<div"
+        tag = f"<{name}" if f"<{name}" in _NAMED and rng.random() < 0.7 else "<div"
         own = {tag} if tag != "<div" else {"<div", name}
         return frozenset({"<html", "<body"} | own | {x for x in name.split("-") if tag == "<div"})
 
@@ -220,7 +313,9 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
     def other(inside: bool) -> list[Block]:
         path = wrapper(str(rng.choice(marks))) | (home if inside else frozenset())
         tag = frozenset({str(rng.choice(["<p", "<p", "<li", "<h2", "<h3", "<span", "<a", "<div", "<label", "<section", "<td"]))} if rng.random() < 0.8 else ())
-        return [(path | tag, t, int(len(t) * (rng.random() < 0.3))) for t in rng.choice(spare, rng.integers(1, 5))]
+        said = _SAYINGS[str(rng.choice(sorted(_SAYINGS)))] if nameless or rng.random() < 0.4 else spare
+        told = [" ".join(map(str, rng.choice(said, 1 if said is spare else rng.choice([1, 1, 1, 2, 3])))) for _ in range(rng.integers(1, 5))]
+        return [(path | tag, t, int(len(t) * (rng.random() < 0.3))) for t in told]
 
     renamed = []
     for path, text, linked in page:
@@ -236,10 +331,11 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
         renamed = page
     out: list[tuple[Block, float]] = [(b, weak_label(b[0])) for b in renamed]
     for _ in range(rng.integers(0, 9)):
-        inside = rng.random() < 0.4
+        inside = rng.random() < 0.35
         at = int(rng.integers(0, len(out) + 1)) if inside else int(rng.choice([0, len(out)]))
         out[at:at] = [(b, 0.0) for b in other(inside)]
-    return [b for b, _ in out], [y for _, y in out]
+    told = [_repetitive(b, rng) if rng.random() < 0.06 else b for b, _ in out]
+    return _unnamed(told, rng) if nameless else told, [y for _, y in out]
 
 
 def _head(start: str, whole: list) -> Head:
@@ -264,7 +360,7 @@ def training_blocks(page_id: str, source: str) -> tuple[list[Block], list[str]]:
     return chosen, [page[i][1][:MAX_SPARE] for i in _drawn(f"{page_id}:spare", len(page), SPARES)]
 
 
-def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 10) -> dict[str, np.ndarray]:
+def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 12) -> dict[str, np.ndarray]:
     def cut(frames):
         for f in frames:
             rows = []
@@ -286,7 +382,7 @@ def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int =
     spare = [t[: int(rng.integers(8, MAX_SPARE))] for r in rows for t in json.loads(r["spare"])]
     adam, paths = lstm.Adam(p), {}
     for epoch in range(epochs):
-        adam.rate = 1e-2 * (0.75**epoch)
+        adam.rate = 1e-2 * (0.8**epoch)
         data = [_varied(page, rng, spare) for page in parsed]
         xs, ys = [features(b, paths) for b, _ in data], [np.array(y, np.float32)[:, None] for _, y in data]
         groups = list(lstm.batches([len(x) for x in xs], 250))
