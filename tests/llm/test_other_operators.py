@@ -99,6 +99,34 @@ def test_pack(docs, docs_rows):
         assert [o for o, _ in sorted(places)] == np.cumsum([0, *(n for _, n in sorted(places)[:-1])]).tolist()
 
 
+def test_pack_checksums(docs, docs_rows):
+    """The ids of every piece, cut by hand from the ids of the whole text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = collections.Counter()
+    for d, text in docs_rows:
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for i, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], range(first, len(ids) + 1, 1024), strict=True)):
+            want[d, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    got = packing.pack(packing.tokenised(docs)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_slots_among_many_runs(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(np.r_[rng.lognormal(4, 1.5, 4_000).astype(int) + 1, np.ones(2_000, int)], 1024)
+    runs, _ = packing.plan({int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}, 1024)
+    assert max(collections.Counter(r[0] for r in runs).values()) > 50
+    want = {(length, r): (seq + r - lo, offset) for length, lo, hi, seq, offset in runs for r in range(lo, hi)}
+    rows = spark.createDataFrame(list(want), "length bigint, r bigint").repartition(5)
+    got = rows.select("length", "r", packing._slot_finder(runs)("length", "r").alias("at")).select("length", "r", "at.*").collect()
+    assert len(got) == len(want) and {(a, b): (c, d) for a, b, c, d in got} == want
+
+
 def test_pack_empty(empty):
     assert packing.pack(packing.tokenised(empty)).count() == 0
 

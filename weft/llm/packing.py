@@ -3,9 +3,9 @@
 Token pieces are cut and written once with the number of the partition that wrote them. Only their length histogram (at most
 ``capacity`` rows) reaches the driver, where best fit runs over counts: for each length, longest first, the tightest open
 space takes as many pieces as fit. The plan is a list of runs - ranks lo..hi-1 of a length go to consecutive sequences at
-one offset - of at most a few thousand rows, whatever the number of documents. Pieces then take their slots by joining on
-their rank within their length; ranks are counted inside (length, writing partition) and shifted by the counts of earlier
-partitions, so a length that a third of all rows share is no single task's work.
+one offset - of at most a few thousand rows, whatever the number of documents. Pieces then take their slots by their rank
+within their length, which a binary search finds among that length's runs; ranks are counted inside (length, writing
+partition) and shifted by the counts of earlier partitions, so a length that a third of all rows share is no single task's work.
 
 Token ids are those of the byte-level BPE vocabulary: words between single spaces are encoded once per worker and remembered
 in a bounded cache, texts with other white space runs are encoded whole. Both give the ids of encoding the whole text.
@@ -21,6 +21,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +89,6 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
 
     def cut(frames):
         import numpy as np
-        import pandas as pd
 
         enc, end = encoder(vocabulary), np.array([END_TOKEN], "<u4").tobytes()
         for f in frames:
@@ -140,13 +140,32 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return runs, made
 
 
+def _slot_finder(runs: list[tuple[int, int, int, int, int]]):
+    """(length, rank) -> (sequence_id, offset): a binary search among the runs in order, so the number of a length's runs does not
+    multiply with its pieces. The plan, a few thousand runs at most, travels with the function."""
+    import numpy as np
+
+    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.empty(len(rank), np.int64)
+        for one in np.unique(length):
+            mine = length == one
+            first, last = np.searchsorted(table[:, 0], [one, one + 1])
+            at[mine] = first + np.searchsorted(table[first:last, 1], rank[mine], "right") - 1
+        found = table[at]
+        return pd.DataFrame({"sequence_id": found[:, 3] + rank - found[:, 1], "offset": found[:, 4]})
+
+    return place
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the pieces of ``tokenised``."""
-    spark = pieces.sparkSession
     counts = materialize(pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs, _ = plan(histogram, capacity)
-    slots = spark.createDataFrame(runs, "length bigint, lo bigint, hi bigint, seq bigint, offset bigint")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
@@ -154,7 +173,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         pieces.withColumn("_in", F.row_number().over(inner) - 1).join(offsets, ["length", "_part"])
         .withColumn("_rank", F.col("_in") + F.col("_before"))
     )
-    return (
-        ranked.join(F.broadcast(slots), "length").where("_rank >= lo and _rank < hi")
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
-    )
+    place = _slot_finder(runs)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", place("length", "_rank").alias("_at")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "_at.sequence_id", "_at.offset")
