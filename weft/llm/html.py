@@ -273,6 +273,7 @@ _SAYINGS = {kind: [x.strip() for x in lines.split("|")] for kind, lines in {
     "form": """Subscribe to our newsletter | Your email address | Sign up | Log in | Username Password | Submit | Newsletter abonnieren | Anmelden | S'abonner | Se connecter
         | Suscríbete | Iniciar sesión | Share on Facebook | Tweet | Follow us""",
 }.items()}
+_TAGS = "<p <p <li <h2 <h3 <span <a <div <label <section <td".split()
 _NAMED = frozenset("<" + x for x in "nav header footer aside form article main button menu select option dialog section label".split())
 
 
@@ -311,10 +312,10 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
         home |= {"<main"}
 
     def other(inside: bool) -> list[Block]:
-        path = wrapper(str(rng.choice(marks))) | (home if inside else frozenset())
-        tag = frozenset({str(rng.choice(["<p", "<p", "<li", "<h2", "<h3", "<span", "<a", "<div", "<label", "<section", "<td"]))} if rng.random() < 0.8 else ())
+        path = wrapper(marks[rng.integers(len(marks))]) | (home if inside else frozenset())
+        tag = frozenset({_TAGS[rng.integers(len(_TAGS))]} if rng.random() < 0.8 else ())
         said = _SAYINGS[str(rng.choice(sorted(_SAYINGS)))] if nameless or rng.random() < 0.4 else spare
-        told = [" ".join(map(str, rng.choice(said, 1 if said is spare else rng.choice([1, 1, 1, 2, 3])))) for _ in range(rng.integers(1, 5))]
+        told = [" ".join(said[j] for j in rng.integers(0, len(said), 1 if said is spare else (1, 1, 1, 2, 3)[rng.integers(5)])) for _ in range(rng.integers(1, 5))]
         return [(path | tag, t, int(len(t) * (rng.random() < 0.3))) for t in told]
 
     renamed = []
