@@ -11,7 +11,7 @@ what ``read`` finds in its whole text, and the first ``MAX_SPARE`` characters fo
 by elements whose meaning HTML or common class names fix (``BOILERPLATE``, ``CONTENT``); the network sees names only as hashes.
 Since the pages of one corpus use few of them, each training page is also varied: blocks of other kinds are put before, after and
 between its own, with texts of the corpus or with what such blocks commonly say (``_SAYINGS``), the wrappers of the article are
-renamed, and a third of the pages lose all telling names, so that words, measures and neighbours decide. Weights reach the tasks inside the function that Spark ships.
+renamed, and three in ten pages lose all telling names, so that words, measures and neighbours decide. Weights reach the tasks inside the function that Spark ships.
 
 Defined cases: null and empty html give an empty text; a page without any block that looks like content gives an empty
 text; broken markup is read as far as it goes in one forward scan, with an unclosed tag taken as text, an unclosed svg or object
@@ -298,9 +298,9 @@ def _repetitive(block: Block, rng: np.random.Generator) -> Block:
 
 
 def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tuple[list[Block], list[float]]:
-    """A training page with renamed wrappers and blocks of other kinds put among its own; a third lose all telling names, so that
+    """A training page with renamed wrappers and blocks of other kinds put among its own; three in ten lose all telling names, so that
     words, measures and neighbours have to decide."""
-    marks, kept, nameless = sorted(BOILERPLATE), sorted(CONTENT), rng.random() < 0.35
+    marks, kept, nameless = sorted(BOILERPLATE), sorted(CONTENT), rng.random() < 0.3
 
     def wrapper(name: str) -> frozenset:
         tag = f"<{name}" if f"<{name}" in _NAMED and rng.random() < 0.7 else "<div"
@@ -332,7 +332,7 @@ def _varied(page: list[Block], rng: np.random.Generator, spare: list[str]) -> tu
         renamed = page
     out: list[tuple[Block, float]] = [(b, weak_label(b[0])) for b in renamed]
     for _ in range(rng.integers(0, 9)):
-        inside = rng.random() < 0.35
+        inside = rng.random() < 0.3
         at = int(rng.integers(0, len(out) + 1)) if inside else int(rng.choice([0, len(out)]))
         out[at:at] = [(b, 0.0) for b in other(inside)]
     told = [_repetitive(b, rng) if rng.random() < 0.06 else b for b, _ in out]
@@ -361,7 +361,7 @@ def training_blocks(page_id: str, source: str) -> tuple[list[Block], list[str]]:
     return chosen, [page[i][1][:MAX_SPARE] for i in _drawn(f"{page_id}:spare", len(page), SPARES)]
 
 
-def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 12) -> dict[str, np.ndarray]:
+def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int = 18) -> dict[str, np.ndarray]:
     def cut(frames):
         for f in frames:
             rows = []
@@ -383,7 +383,7 @@ def train(pages: DataFrame, limit: int = MAX_PAGES, seed: int = 7, epochs: int =
     spare = [t[: int(rng.integers(8, MAX_SPARE))] for r in rows for t in json.loads(r["spare"])]
     adam, paths = lstm.Adam(p), {}
     for epoch in range(epochs):
-        adam.rate = 1e-2 * (0.8**epoch)
+        adam.rate = 1e-2 * (0.82**epoch)
         data = [_varied(page, rng, spare) for page in parsed]
         xs, ys = [features(b, paths) for b, _ in data], [np.array(y, np.float32)[:, None] for _, y in data]
         groups = list(lstm.batches([len(x) for x in xs], 250))
