@@ -96,6 +96,35 @@ def test_proximity(spark):
     assert sorted((r["_d"], abs(r["gap"])) for r in near.collect()) == [(1, 4), (2, 6)]
 
 
+def test_near_counts(docs, docs_rows, benchmark):
+    sep = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = [(d, t, split(t, sep, True)) for d, t in docs_rows]
+    counts = collections.Counter(x for _, _, w in texts for x in w)
+    choices = set()
+    for r in benchmark.collect():
+        w = split(r["text"], sep, True)
+        for s in range(max(1, len(w) - 9) if w else 0):
+            first, *more = sorted((counts[w[p]], w[p].encode(), p) for p in range(s, min(s + 10, len(w))))[:2]
+            choices |= {(r["item_id"], first[2], x[2], w[first[2]], w[x[2]]) for x in more}
+    want = collections.Counter()
+    for d, _, w in texts:
+        at = collections.defaultdict(list)
+        for p, x in enumerate(w):
+            at[x].append(p)
+        near = {item for item, i, j, a, b in choices for x in at[a] for y in at[b] if abs(y - x - (j - i)) <= 5 and (y > x) == (j > i) and x != y}
+        want[d, len(near)] += 1
+    assert rows_of(decontam.report(docs, benchmark), "doc_id", "n_near") == want and max(n for _, n in want) > 0
+
+
+def test_decontamination_many_alignments(spark):
+    """One text in which a long item's words recur in very many places, and a copy of it."""
+    item = ["a", "b"] * 30 + ["c"]
+    docs = spark.createDataFrame([(1, " ".join(item * 40)), (2, "a b a b"), (3, " ".join(item[5:]))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.report(docs, bench).collect()}
+    assert got == {1: (2440, 2440, 1), 2: (4, 0, 0), 3: (56, 56, 1)}
+
+
 def brute_components(docs_rows, percent):
     sets = []
     for d, t in docs_rows:

@@ -5,10 +5,12 @@ term inside each segment. It is restricted to the terms that the search starts f
 its rarest terms, by their counts over the whole corpus. A search takes the postings of a window's rarest term, shifts
 them by the term's place in the item - which gives (document, item, shift) alignments - and intersects them with the
 shifted postings of the next rarest term. What survives is compared word by word with the document, which yields exact
-phrase matches; ``proximity_matches`` answers from postings alone.
+phrase matches; ``proximity_matches`` answers from postings alone: a window's two rarest terms in the item's order, at most
+``SLOP`` words nearer or farther apart than there (so a passage with words put in, left out or changed between them is near).
 
 DataFrame functions only. A frequent term is read only if a window has nothing rarer; alignments are one row for each
-occurrence and item place, never pairs of documents; the item side is broadcast only below a counted size.
+occurrence and item place, never pairs of documents; the item side is broadcast only below a counted size. A document's row
+holds the words of each item aligned with it once, and one number for each alignment.
 
 Defined cases: null or empty text has no words, so nothing matches; items without words are never found; an item of fewer
 words than a window is one window; equal item ids count once; repeated document rows get equal results; extra columns do
@@ -21,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm.text import let, lower_ascii, maybe_broadcast, once, row_key
+from weft.llm.text import lower_ascii, maybe_broadcast, once, row_key
 
 WINDOW = 10
+SLOP = 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -86,71 +89,93 @@ def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return alone.select(*keys).unionAll(both.select(*keys)).distinct()
 
 
-def proximity_matches(index: DataFrame, anchors: DataFrame, slop: int = 5) -> DataFrame:
+def proximity_matches(index: DataFrame, anchors: DataFrame, slop: int = SLOP) -> DataFrame:
     """(_d, _h, _item, start, gap): places where a window's two rarest terms stand in order, at most ``slop`` words nearer
     or farther apart than in the item. Both posting lists are cut to buckets of positions, so only neighbours meet."""
-    pairs = anchors.where("second is not null").withColumn("gap", F.col("second") - F.col("first"))
-    a = index.join(pairs.withColumnRenamed("first_term", "term"), "term").withColumn("want", F.col("pos") + F.col("gap"))
+    n = anchors.count()
+    pairs = anchors.where("second is not null").select(
+        "_item", F.col("first_term").alias("term"), "second_term", (F.col("second") - F.col("first")).alias("want")).distinct()
     wide = 2 * slop + 1
-    a = a.select("_d", "_h", "_item", F.col("second_term").alias("term"), F.col("pos").alias("start"), "want", F.explode(
-        F.array_distinct(F.array(F.floor((F.col("want") - slop) / wide), F.floor((F.col("want") + slop) / wide)))).alias("b"))
-    b = index.withColumn("b", F.floor(F.col("pos") / wide))
-    return (
-        a.join(b, ["_d", "_h", "term", "b"]).where((F.abs(F.col("pos") - F.col("want")) <= slop) & (F.signum(F.col("pos") - F.col("start")) == F.signum(F.col("want") - F.col("start"))))
-        .select("_d", "_h", "_item", "start", (F.col("pos") - F.col("start")).alias("gap")).distinct()
+    want = F.col("start") + F.col("want")
+    a = (
+        index.withColumnRenamed("pos", "start").join(maybe_broadcast(pairs, n), "term")
+        .select("_d", "_h", "_item", F.col("second_term").alias("term"), "start", "want", F.explode(
+            F.array_distinct(F.array(F.floor((want - slop) / wide), F.floor((want + slop) / wide)))).alias("b"))
     )
+    seconds = pairs.select(F.col("second_term").alias("term")).distinct()
+    b = index.join(maybe_broadcast(seconds, n), "term", "left_semi").withColumn("b", F.floor(F.col("pos") / wide))
+    gap = F.col("pos") - F.col("start")
+    near = a.join(b, ["_d", "_h", "term", "b"]).where((F.abs(gap - F.col("want")) <= slop) & (F.signum(gap) == F.signum("want")))
+    return near.select("_d", "_h", "_item", "start", gap.alias("gap")).distinct()
+
 
+def near_counts(items: DataFrame, anchors: DataFrame, index: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(_d, _h, n_near): how many item ids have a proximity match in a document, for documents with any."""
+    found = proximity_matches(index, anchors, slop).select("_d", "_h", "_item").distinct()
+    names = items.select("_item", "item_id")
+    named = found.join(maybe_broadcast(names, names.count()), "_item").select("_d", "_h", "item_id").distinct()
+    return named.groupBy("_d", "_h").agg(F.count(F.lit(1)).alias("n_near"))
 
-def candidates(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_d, _h, found): for each document with alignments the list of (item_id, words, shift)."""
+
+def search_tables(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, anchors, index) of a search, each written once."""
     items = items_table(benchmark)
     vocabulary = materialize(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
     counts = term_counts(docs, vocabulary, vocabulary.count())
     anchors = materialize(rarest_terms(items, counts, window), "anchors")
     terms = anchors.select(F.col("first_term").alias("term")).unionAll(anchors.select("second_term")).where("term is not null").distinct()
     terms = materialize(terms, "terms")
-    index = build_index(docs, terms, terms.count())
-    return (
-        alignments(index, anchors).join(items, "_item").groupBy("_d", "_h")
-        .agg(F.collect_list(F.struct("item_id", "words", "shift")).alias("found"))
-    )
+    return items, anchors, build_index(docs, terms, terms.count())
 
 
-def _starts(doc: Column, c: Column, window: int) -> Column:
-    """Item places at which a whole window of the item stands in the document at this shift."""
+def candidates(items: DataFrame, anchors: DataFrame, index: DataFrame) -> DataFrame:
+    """(_d, _h, found): for each document with alignments the list of (item_id, words, shifts), one entry for each item."""
+    shifts = alignments(index, anchors).groupBy("_d", "_h", "_item").agg(F.collect_list("shift").alias("shifts"))
+    return shifts.join(items, "_item").groupBy("_d", "_h").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("found"))
+
+
+def _hits(doc: Column, c: Column, window: int) -> Column:
+    """Document places of the words of the item's windows that stand in the document at one of the item's shifts."""
     n = F.size(c["words"])
     length = F.least(n, F.lit(window))
-    return F.filter(
-        F.sequence(F.lit(0), n - length),
-        lambda s: (c["shift"] + s >= 0) & (F.slice(doc, F.greatest(c["shift"] + s, F.lit(0)) + 1, length) == F.slice(c["words"], s + 1, length)),
-    )
+
+    def at(shift: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), n - length),
+            lambda s: (shift + s >= 0) & (F.slice(doc, F.greatest(shift + s, F.lit(0)) + 1, length) == F.slice(c["words"], s + 1, length)),
+        )
+        return F.flatten(F.transform(starts, lambda s: F.sequence(shift + s, shift + s + length - 1)))
+
+    return F.array_distinct(F.flatten(F.transform(c["shifts"], at)))
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` in ``_row``, with n_words, hit word positions (``hits``) and the item ids found (``items``)."""
-    found = candidates(docs, benchmark, window)
+def exact_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All columns of ``docs`` in ``_row``, with its row key, n_words, hit word positions (``hits``) and the item ids found
+    (``items``). ``tables`` are those of ``search_tables``, where they exist already."""
+    found = candidates(*(tables or search_tables(docs, benchmark, window)))
     rows = docs.select(F.struct("*").alias("_row")).select("_row", *row_key("_row.doc_id", "_row.text"))
     joined = rows.join(found, ["_d", "_h"], "left").withColumn("_w", tokens(F.col("_row.text")))
-    matched = F.when(F.col("found").isNotNull(), F.filter(F.transform("found", lambda c: let(
-        _starts(F.col("_w"), c, window), lambda starts: F.struct(c["item_id"].alias("item_id"), F.flatten(F.transform(
-            starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + F.least(F.size(c["words"]), F.lit(window)) - 1))).alias("at"))
-    )), lambda m: F.size(m["at"]) > 0))
+    matched = F.when(F.col("found").isNotNull(), F.filter(F.transform("found", lambda c: F.struct(
+        c["item_id"].alias("item_id"), _hits(F.col("_w"), c, window).alias("at"))), lambda m: F.size(m["at"]) > 0))
     return once(
-        joined.withColumn("_m", matched), F.size("_w").cast("bigint").alias("n_words"),
+        joined.withColumn("_m", matched), "_d", "_h", F.size("_w").cast("bigint").alias("n_words"),
         F.coalesce(F.array_distinct(F.flatten(F.transform("_m", lambda m: m["at"]))), F.array().cast("array<int>")).alias("hits"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("_m", lambda m: m["item_id"]))), F.array().cast("array<string>")).alias("items"),
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
-    m = exact_matches(docs, benchmark)
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every document. ``n_near`` counts the item
+    ids with a proximity match; it does not decide about ``contaminated``."""
+    tables = search_tables(docs, benchmark, window)
+    m = exact_matches(docs, benchmark, window, tables)
     ids = F.filter("items", lambda x: x.isNotNull())
-    return m.select(
-        F.col("_row.doc_id").alias("doc_id"), "n_words", F.size("hits").cast("bigint").alias("n_hit"),
+    digest = m.select(
+        "_d", "_h", F.col("_row.doc_id").alias("doc_id"), "n_words", F.size("hits").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+    return digest.join(near_counts(*tables, slop), ["_d", "_h"], "left").drop("_d", "_h").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

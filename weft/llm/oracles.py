@@ -83,10 +83,24 @@ doc_windows AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
 ), found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+), postings AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM docs),
+counts AS (SELECT term, count(*) AS n FROM postings GROUP BY term),
+places AS (
+  SELECT item, item_id, size, p.term, pos, coalesce(n, 0) AS n
+  FROM (SELECT row_number() OVER () AS item, item_id, len(w) AS size, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM items) p LEFT JOIN counts c ON c.term = p.term
+), ranked AS (
+  SELECT item, item_id, s, pos, term, row_number() OVER (PARTITION BY item, s ORDER BY n, term, pos) AS r
+  FROM (SELECT *, unnest(range(greatest(1, pos - 9), least(pos, greatest(size - 9, 1)) + 1)) AS s FROM places)
+), rarest AS (
+  SELECT DISTINCT a.item_id, a.term AS t, b.term AS u, b.pos - a.pos AS want FROM ranked a JOIN ranked b ON a.item = b.item AND a.s = b.s AND a.r = 1 AND b.r = 2
+), near AS (
+  SELECT doc_id, count(*) AS n_near FROM (
+    SELECT DISTINCT x.doc_id, item_id FROM rarest JOIN postings x ON x.term = t JOIN postings y ON y.doc_id = x.doc_id AND y.term = u
+    WHERE abs(y.pos - x.pos - want) <= 5 AND sign(y.pos - x.pos) = sign(want)) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 _FIXITY = """
