@@ -5,8 +5,9 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from weft.llm import decontam, jaccard, quality, substrings
+from weft.llm import decontam, jaccard, quality, shingles, substrings
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -166,6 +167,28 @@ def test_jaccard_hot_groups(spark):
     assert rows_of(jaccard.components(docs), "doc_id", "n_shingles", "component_id") == brute_components(near + rest + [(500, " ".join(base))], 75)
 
 
+def test_jaccard_hot_class_is_dealt(spark):
+    """Copies of one text beyond the limit, the same row repeated among them, lie in several parts and lose no row."""
+    same = "one two three four five six seven eight"
+    rows = [(i, same) for i in range(600)] + [(7, same)] * 400 + [(1000, same + " nine"), (1001, "another text of its own entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, _ = jaccard.sketched(docs)
+    classes = jaccard.per_class(found)
+    parts = jaccard.dealt(found, classes, classes.select("cls", F.lit(1).alias("one"))).groupBy("cls", "part").count()
+    sizes = sorted(r["count"] for r in parts.collect())
+    assert sum(sizes) == len(rows) and max(sizes) <= 300
+    got = jaccard.components(docs).groupBy("component_id").count()
+    assert {r["component_id"]: r["count"] for r in got.collect()} == {0: 1001, 1001: 1}
+
+
+def test_buckets_grow_with_the_texts(spark, monkeypatch):
+    rows = spark.createDataFrame([("x" * 1000,), (None,)], "text string")
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shingles.bucket_count(rows) == shingles.bucket_count(rows.where("false")) == least
+    monkeypatch.setattr(shingles, "BUCKET_BYTES", 10)
+    assert shingles.bucket_count(rows) == 100
+
+
 def test_jaccard_empty(empty):
     assert jaccard.components(empty).count() == 0
 

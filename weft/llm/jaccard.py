@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from weft.functions.lineage import cut, materialize
-from weft.llm.shingles import by_bucket, frame, mix, shingle_set
+from weft.llm.shingles import bucket_count, by_bucket, frame, mix, shingle_set
 from weft.llm.text import maybe_broadcast, row_key
 from weft.operators.cluster import component_labels
 
@@ -44,6 +44,8 @@ RATIO = 4  # sizes of a band
 SMALL = 64  # largest set of the first band
 FLUSH = 400_000  # sketch words in a block set
 LONGS = 16  # of the bit sketch
+HOT_COPIES = 256  # fewest copies that are dealt over parts
+HOT_CLASSES = 100_000  # most classes that are
 
 
 def _bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -152,9 +154,8 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
 
 def sketched(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (_d, _h, doc_id, n, cls, bits), and shared sketch words (cls, band, word, df, looks, own) of their classes."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(*row_key(), F.col("doc_id").isNotNull().alias("known"), "text")
+    buckets = bucket_count(rows)
     sent = rows.mapInPandas(lambda frames: _emit(frames, buckets, percent), _EMIT)
     found = materialize(sent.groupBy("bucket").applyInPandas(_shared, _FOUND), "sketches")
     return (
@@ -163,14 +164,21 @@ def sketched(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFr
     )
 
 
-def groups(found: DataFrame, shared: DataFrame) -> DataFrame:
+def per_class(found: DataFrame) -> DataFrame:
+    """(cls, n, bits, copies, least, _d, _h): each class once, with its documents' number, their least id and the key of one of
+    them. Copies are combined before they are shuffled."""
+    one = found.where("cls is not null").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("_d", "_h")).alias("k"))
+    return materialize(one.select("cls", "n", "bits", "copies", "least", "k._d", "k._h"), "classes")
+
+
+def groups(classes: DataFrame, shared: DataFrame) -> DataFrame:
     """(word, cls, alone, n, bits): the rarest words of a class that have to be looked at. ``alone`` counts its words that no
     other class has; the original of many near copies has few."""
     by = Window.partitionBy("cls", "band")
     ranked = shared.withColumn("alone", F.col("own") - F.count(F.lit(1)).over(by)).withColumn("r", F.row_number().over(by.orderBy("df", "word")))
     kept = ranked.where(F.col("r") <= F.col("looks") - F.col("alone")).select("word", "cls", "alone")
-    classes = found.where("cls is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
-    return materialize(kept.join(classes, "cls"), "groups")
+    return materialize(kept.join(classes.select("cls", "n", "bits"), "cls"), "groups")
 
 
 def possible(percent: int) -> Column:
@@ -183,10 +191,9 @@ def possible(percent: int) -> Column:
     )
 
 
-def shingle_sets(docs: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, shingles, n) of the classes asked for, from one document of each."""
-    reps = found.where("cls is not null").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("_d", "_h")).alias("k"))
-    reps = materialize(reps.select("cls", "k._d", "k._h"), "reps")
+    reps = materialize(classes.select("cls", "_d", "_h"), "reps")
     texts = docs.select(*row_key(), "text").join(maybe_broadcast(reps, reps.count()), ["_d", "_h"]).select("cls", "text")
 
     @F.pandas_udf("array<bigint>")
@@ -204,10 +211,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, found: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): verified links between classes that connect what any links connect."""
-    members = groups(found, shared)
-    sets = shingle_sets(docs, found, members.select("cls").distinct())
+    members = groups(classes, shared)
+    sets = shingle_sets(docs, classes.join(members.select("cls").distinct(), "cls", "left_semi"))
     ordered = lambda df: materialize(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     centre = members.groupBy("word").agg(F.min(F.struct("alone", "cls", "n", "bits")).alias("c"))
@@ -227,17 +234,31 @@ def links(docs: DataFrame, found: DataFrame, shared: DataFrame, percent: int = P
     return cut(first.unionAll(second))
 
 
+def dealt(found: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """``found`` with the columns of ``named``, one row for each class. Documents of a class of many copies are dealt over parts,
+    and its row goes to each part. A class counts as such above one part in ``HOT_CLASSES`` of all documents, so at most
+    that many are broadcast."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    most = max(HOT_COPIES, total // HOT_CLASSES)
+    hot = F.broadcast(classes.where(F.col("copies") > most).select("cls", F.ceil(F.col("copies") / most).alias("parts")))
+    rows = found.withColumn("_i", F.monotonically_increasing_id()).join(hot, "cls", "left")
+    rows = rows.withColumn("part", F.coalesce(F.col("_i") % F.col("parts"), F.lit(0).cast("bigint"))).drop("_i", "parts")
+    each = named.join(hot, "cls", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)))
+    return rows.join(each.drop("parts"), ["cls", "part"])
+
+
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(_d, _h, doc_id, n_shingles, component_id) of every document."""
     found, shared = sketched(docs, percent)
-    joined = links(docs, found, shared, percent)
+    classes = per_class(found)
+    joined = links(docs, classes, shared, percent)
     labels = component_labels(joined.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = labels.select(F.col("user_id").alias("cls"), F.col("super_id").alias("root"))
-    classes = found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    rooted = materialize(classes.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "classes")
+    rooted = classes.select("cls", "least").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("cls", "component_id")
-    full = found.where("cls is not null").join(named, "cls")
+    full = dealt(found.where("cls is not null").drop("bits"), classes, named)
     empty = found.where("cls is null").withColumn("component_id", F.col("doc_id"))
     cols = ["_d", "_h", "doc_id", F.col("n").alias("n_shingles"), "component_id"]
     return full.select(*cols).unionAll(empty.select(*cols))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CACHE_ENTRIES = 150_000
+BUCKET_BYTES = 1 << 27  # of text whose words share a bucket
 _P2, _P3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -74,3 +77,10 @@ def frame(schema: str, rows: int, **given) -> pd.DataFrame:
         name: given.get(name, np.full(rows, *empty.get(kind, (0, np.int64))))
         for name, kind in (x.split() for x in schema.split(", "))
     })
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Hash buckets for the words of the texts in ``rows``: as many as keep a bucket at about ``BUCKET_BYTES`` of text, and
+    four for each shuffle partition at least."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))

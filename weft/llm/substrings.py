@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.lineage import materialize
-from weft.llm.shingles import by_bucket, frame, mix, window_hashes, word_hashes
+from weft.llm.shingles import bucket_count, by_bucket, frame, mix, window_hashes, word_hashes
 from weft.llm.text import row_key
 
 BLOCK = 10
@@ -199,9 +199,8 @@ def _join_windows(f: pd.DataFrame) -> pd.DataFrame:
     return _found(f, which)
 
 
-def _exchange(rows: DataFrame, send, join, name: str) -> DataFrame:
+def _exchange(rows: DataFrame, buckets: int, send, join, name: str) -> DataFrame:
     """(_d, _h, places) for each document with places that were found."""
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.mapInPandas(lambda frames: send(frames, buckets), _SENT)
     found = materialize(sent.groupBy("bucket").applyInPandas(join, _SENT), name)
     del sent
@@ -227,8 +226,9 @@ def later_windows(docs: DataFrame) -> DataFrame:
     """(_d, _h, places): starts of the 20-word windows of each document whose word sequence starts earlier as well; lists of
     little-endian 32-bit blobs."""
     rows = keyed(docs)
-    hits = _exchange(rows, _send_blocks, _join_blocks, "anchors")
-    return _exchange(rows.join(hits, ["_d", "_h"]), _send_windows, _join_windows, "repeats")
+    buckets = bucket_count(rows)
+    hits = _exchange(rows, buckets, _send_blocks, _join_blocks, "anchors")
+    return _exchange(rows.join(hits, ["_d", "_h"]), buckets, _send_windows, _join_windows, "repeats")
 
 
 def spans(places: np.ndarray, n: int, window: int = WINDOW) -> list[tuple[int, int]]:
