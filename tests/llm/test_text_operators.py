@@ -114,7 +114,7 @@ def test_near_counts(docs, docs_rows, benchmark):
             at[x].append(p)
         near = {item for item, i, j, a, b in choices for x in at[a] for y in at[b] if abs(y - x - (j - i)) <= 5 and (y > x) == (j > i) and x != y}
         want[d, len(near)] += 1
-    assert rows_of(decontam.report(docs, benchmark), "doc_id", "n_near") == want and max(n for _, n in want) > 0
+    assert rows_of(decontam.report(docs, benchmark, slop=decontam.SLOP), "doc_id", "n_near") == want and max(n for _, n in want) > 0
 
 
 def test_decontamination_many_alignments(spark):

@@ -164,9 +164,9 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     )
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every document. ``n_near`` counts the item
-    ids with a proximity match; it does not decide about ``contaminated``."""
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document; with ``slop`` also n_near, the number
+    of item ids with a proximity match, which does not decide about ``contaminated``."""
     tables = search_tables(docs, benchmark, window)
     m = exact_matches(docs, benchmark, window, tables)
     ids = F.filter("items", lambda x: x.isNotNull())
@@ -175,6 +175,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: in
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+    if slop is None:
+        return digest.drop("_d", "_h")
     return digest.join(near_counts(*tables, slop), ["_d", "_h"], "left").drop("_d", "_h").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("bigint")))
 
 
