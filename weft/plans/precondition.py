@@ -71,7 +71,7 @@ def prepare(r: DataFrame, cfg: Config = Config(), edges: DataFrame | None = None
 def _stats(r, cfg, edges, kept, clusters, pairs_before, active, alpha) -> DataFrame:
     n = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
     one = cluster.cluster_stats(clusters)
-    hc = kept.agg(F.count(F.lit(1)).alias("hc"), F.sum(F.col("kept").cast("bigint")).alias("pruned"))
+    hc = kept.agg(F.count(F.lit(1)).alias("hc"), F.coalesce(F.sum(F.col("kept").cast("bigint")), F.lit(0)).alias("pruned"))
     base = one.select(
         F.col("num_users").cast("bigint").alias("num_users"), n(r.select("item_id").distinct()).alias("num_items"), "num_super_nodes",
         "compression_ratio", "avg_cluster_size", F.col("largest_cluster_size").cast("bigint").alias("largest_cluster_size"),
