@@ -22,7 +22,7 @@ def c01(spark, sf):
 
 @query("c01_co_occurrence_shared2", sql("SELECT u, v, CAST(common AS BIGINT) AS common FROM pairs WHERE common >= 2", ["pairs"]))
 def c01_shared2(spark, sf):
-    """Small hot limit, so that the hottest-item elimination runs on these tables as well."""
+    """Small hot limit, so that items stay out of the meetings on these tables as well."""
     return cograph.co_occurrence(pos1(spark, sf), 2, hot_degree=8).select("u", "v", "common")
 
 
@@ -52,7 +52,7 @@ _ALL_DENSE = {"dpairs": "SELECT a.user_id AS u, b.user_id AS v, count(*) AS comm
     WHERE rn <= 10""", ["pos_dense"], _ALL_DENSE))
 def c04(spark, sf):
     pos = prep.positives(ratings_dense(spark, sf), TAU)
-    return cograph.cap_neighbors(cograph.co_occurrence(pos, 2), 10).select("u", "v", "common")
+    return cograph.cap_neighbors(cograph.co_occurrence(pos, 2, neighbors=10), 10).select("u", "v", "common")
 
 
 @query("c05_cosine_edges", sql("SELECT u, v, CAST(common AS BIGINT) AS common, round(score, 6) AS score FROM cos_edges", ["cos_edges"]))
