@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import IDF
@@ -13,16 +15,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from weft.functions.lineage import materialize
 from weft.functions.vectors import as_double, scale, times_matrix, unit, vector_dim, zeros
 
 # photo labels counted per business
 LABELS = ["food", "drink", "inside", "outside", "menu"]
 
+ALS_BLOCKS = 4  # blocks of users and of items
+BLOCK_RATINGS = 50_000_000  # ratings of a block beyond which there are more blocks
+
 
 def train_factors(inter: DataFrame, rank: int = 64, iters: int = 10, seed: int = 42, user: str = "user_id") -> tuple[DataFrame, DataFrame]:
-    """User and item factors (id, vec) from implicit ALS on mean ratings; ids must fit in 32 bits (use the remap)."""
-    rows = inter.select(F.col(user).cast("int").alias("user"), F.col("item_id").cast("int").alias("item"), F.col("rating").cast("float").alias("rating"))
-    model = ALS(rank=rank, maxIter=iters, seed=seed, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating").fit(rows)
+    """User and item factors (id, vec) from implicit ALS on mean ratings; ids must fit in 32 bits (use the remap).
+
+    Nearly every block needs the factors of the whole other side, so each half of an iteration shuffles, and holds, them once for
+    each block: blocks are few, and follow the ratings only where one would get too large. The fit reads its input several times."""
+    rows = materialize(inter.select(F.col(user).cast("int").alias("user"), F.col("item_id").cast("int").alias("item"), F.col("rating").cast("float").alias("rating")), "interactions")
+    blocks = max(ALS_BLOCKS, math.ceil(rows.count() / BLOCK_RATINGS))
+    als = ALS(rank=rank, maxIter=iters, seed=seed, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", numUserBlocks=blocks, numItemBlocks=blocks)
+    model = als.fit(rows)
     users = model.userFactors.select(F.col("id").cast("bigint").alias(user), as_double(F.col("features")).alias("vec"))
     items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), as_double(F.col("features")).alias("vec"))
     return users, items
