@@ -3,13 +3,14 @@
 import os
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weft.catalog import fixtures
 from weft.functions import lineage
-from weft.operators import evaluate, pairdots, recommend
+from weft.operators import evaluate, pairdots, propagate, recommend, strips
 
 
 def _shuffle_files(spark):
@@ -98,3 +99,37 @@ def test_masked_pairs_are_shuffled_by_user_only(spark):
     got = recommend.top_items(vec("user_id", 20), vec("item_id", 50), masked.unionAll(masked), 2)
     assert "hashpartitioning(user_id" not in "".join(x.replace(" ", "") for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "item_id" in x.split("hashpartitioning")[-1])
     assert sorted((r["user_id"], r["item_id"]) for r in got.where("user_id > 0").collect()) == [(u, i) for u in range(1, 20) for i in (48, 49)]
+
+
+@pytest.mark.parametrize(("strip_bytes", "pass_bytes"), [(256 << 20, 4 << 30), (700, 1)])
+def test_strips_and_passes_equal_brute_force(spark, strip_bytes, pass_bytes):
+    """Partial sums of every tile, and vectors for every tile, filled the disk (f03)."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 700), rng.integers(0, 50, 700), strict=True)] + [(3, 4), (3, 4), (77, 2), (1, 99), (99, 5)]
+    vecs = rng.standard_normal((70, 11)).astype("float32")  # 77 has no vector and 99 none either
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id bigint, vec array<float>")
+    deg = np.bincount([b for _, b in edges], minlength=100)
+    w = np.where(deg > 0, 1 / np.sqrt(np.maximum(deg, 1)), 0.0)
+    layer, total = np.zeros((100, 11)), np.zeros((100, 11))
+    layer[:70] = vecs
+    for _ in range(2):
+        new = np.zeros((100, 11))
+        for a, b in edges:
+            new[b] += w[a] * w[b] * layer[a]
+        new[70:] = 0
+        layer = new
+        total += layer
+    got = strips.layer_sums(spark.createDataFrame(edges, "src bigint, dst bigint"), table, 11, 2, F.when(F.col("deg") > 0, 1.0 / F.sqrt("deg")), strip_bytes, pass_bytes)
+    rows = {r["id"]: r["s"] for r in got.collect()}
+    assert set(rows) >= set(np.flatnonzero(np.abs(total).sum(axis=1) > 0)) and len(rows) == len(set(rows))
+    assert all(i < 70 and np.allclose(s, total[i]) for i, s in rows.items())
+
+
+def test_partial_sums_are_not_shuffled(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(strips, "materialize", lambda df, name="table": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or lineage.materialize(df, name))
+    edges = spark.range(500).select((F.col("id") % 40).alias("src"), (F.col("id") * 7 % 30).alias("dst"))
+    table = spark.range(40).select("id", F.array(*[F.col("id").cast("float")] * 16).alias("vec"))
+    propagate.propagate(edges, table, 2).collect()
+    layers = [p for name, p in plans if name == "layer"]
+    assert len(layers) == 2 and all(p.count("MapInArrow") == 2 and "HashAggregate" not in p for p in layers)
