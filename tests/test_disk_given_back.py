@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from weft.catalog import fixtures
 from weft.functions import lineage
-from weft.operators import evaluate, pairdots, propagate, recommend, strips
+from weft.operators import cluster, cograph, evaluate, pairdots, propagate, recommend, strips
 
 
 def _shuffle_files(spark):
@@ -38,7 +38,7 @@ def test_released_tables_are_gone_and_others_stay(spark, tmp_path):
     assert kept.count() == 5 and own.count() == 7 and not any(os.path.exists(f.removeprefix("file://")) for f in gone.inputFiles())
 
 
-@pytest.mark.parametrize("key", ["f08_bpr_loss", "f03_propagate", "g06_ndcg_truth", "h03_overlap_at_k", "h07_vector_neighbors", "h10_explain", "h16_preservation"])
+@pytest.mark.parametrize("key", ["f08_bpr_loss", "f03_propagate", "g06_ndcg_truth", "h03_overlap_at_k", "h07_vector_neighbors", "h10_explain", "h16_preservation", "b09_compressible_users"])
 def test_ratings_are_joined_once(spark, sf, monkeypatch, key):
     made = []
     monkeypatch.setattr(fixtures, "ratings", lambda *a, old=fixtures.ratings: made.append(a) or old(*a))
@@ -133,3 +133,28 @@ def test_partial_sums_are_not_shuffled(spark, monkeypatch):
     propagate.propagate(edges, table, 2).collect()
     layers = [p for name, p in plans if name == "layer"]
     assert len(layers) == 2 and all(p.count("MapInArrow") == 2 and "HashAggregate" not in p for p in layers)
+
+
+def test_greedy_matching_checkpoints_no_edges(spark, monkeypatch):
+    """All free edges went uncompressed into a checkpoint in every round (b09)."""
+    written, gone = [], []
+    monkeypatch.setattr(cluster, "cut", lambda df: written.append((out := lineage.cut(df)).count()) or out)
+    monkeypatch.setattr(cluster, "release", lambda *t: gone.extend(t) or lineage.release(*t))
+    e = spark.range(3000).select((F.col("id") % 60).alias("u"), (60 + F.col("id") % 50).alias("v"), (F.hash("id") % 9973).cast("double").alias("score"))
+    got = cluster.match_greedy(e.groupBy("u", "v").agg(F.abs(F.max("score")).alias("score")))
+    rows = got.collect()
+    assert len(rows) == 50 and len({r["u"] for r in rows}) == len({r["v"] for r in rows}) == 50
+    assert max(written) <= 2 * 110 and len(gone) >= 2
+
+
+@pytest.mark.parametrize("hot", [5000, 5])
+def test_all_pairs_are_counted_in_tiles(spark, hot):
+    """A shuffled row for each pair with one shared item (b09)."""
+    pos = spark.range(900).select((F.col("id") * F.col("id") % 71).alias("user_id"), (F.col("id") % 40).alias("item_id"))
+    got = cograph.co_occurrence(pos, 1, hot_degree=hot)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    items = {}
+    for r in pos.distinct().collect():
+        items.setdefault(r["user_id"], set()).add(r["item_id"])
+    want = {(u, v, len(items[u]), len(items[v]), n) for u in items for v in items if u < v and (n := len(items[u] & items[v]))}
+    assert {tuple(r) for r in got.select("u", "v", "deg_u", "deg_v", "common").collect()} == want
